@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm.clusters import cluster_members, cluster_pairs, described_clusters
 from wordloom.llm.distinctive import context_scores, frequent_targets
 from wordloom.llm.frequent import most_frequent, values_above_share
+from wordloom.llm.neighbours import nearest_vectors
 from wordloom.llm.ngrams import marked, ngram_counts
 from wordloom.llm.pairs import pair_association, pairs_above_chance
+from wordloom.llm.vectors import usable_vectors
 from wordloom.operators.dedupe import latest_count
-from wordloom.runtime import read_table
+from wordloom.runtime import cut_lineage, read_table
 
 
 def counting_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +58,19 @@ def p3_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("w", "freq", F.col("n_records").alias("n_slices"), "mark")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(usable_vectors(read_table(spark, sf_dir, "vectors")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_pairs(cluster_members(_vectors(spark, sf_dir), 0.75))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return described_clusters(vectors, cluster_members(vectors, 0.75))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = context_scores(read_table(spark, sf_dir, "cooc_line"))
     targets = frequent_targets(read_table(spark, sf_dir, "word"), read_table(spark, sf_dir, "corpora"))
@@ -70,6 +86,18 @@ def p5_context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("corpus_id", "w_idx", "c_idx", "n", "t", "df", F.round("score", 6).alias("score"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = nearest_vectors(_vectors(spark, sf_dir), 3, 0.75)
+    return near.select(F.least("idx", "other").alias("idx_a"), F.greatest("idx", "other").alias("idx_b")).distinct()
+
+
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    near = nearest_vectors(vectors, 10)
+    words = vectors.select(F.col("idx").alias("other"), "w")
+    return near.join(words, "other").select("idx", "other", "w", F.round("cos", 4).alias("cos"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_words": p1_top_words,
@@ -77,8 +105,12 @@ QUERIES = {
     "p2_pair_association": p2_pair_association,
     "p3_found": p3_found,
     "p3_term_counts": p3_term_counts,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p5_found": p5_found,
     "p5_context_scores": p5_context_scores,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
 }
 
 COUNTING = """
