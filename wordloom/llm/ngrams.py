@@ -142,7 +142,13 @@ def _count_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def ngram_counts(
-    df: DataFrame, record: str, terms: str, max_len: int = 1, weight: str | None = None, salts: int | None = None
+    df: DataFrame,
+    record: str,
+    terms: str,
+    max_len: int = 1,
+    weight: str | None = None,
+    salts: int | None = None,
+    first_terms: DataFrame | None = None,
 ) -> DataFrame:
     """(gram, freq, n_records) of all n-grams of up to max_len terms.
 
@@ -156,6 +162,8 @@ def ngram_counts(
     at most 1/HOT_SHARE of them) are routed by term and record, in `salts`
     parts.  A record is in one part only, so the parts' counts and record
     counts add up exactly, and no task gets more than its part of a hot term.
+    Where df is costly to compute, first_terms may name a cheaper one-column
+    table with about the same mix of first terms to find the hot ones in.
     """
     salts = salts or shuffle_partitions(df.sparkSession)
     counted = F.col(weight) if weight else F.lit(1)
@@ -171,7 +179,8 @@ def ngram_counts(
         rows = rows.withColumn("first", F.substring_index("suffix", SEP, 1))
     else:
         rows = rows.select("record", F.explode("terms").alias("suffix"), "weight").withColumn("first", F.col("suffix"))
-    hot = [r[0] for r in heavy_keys(rows, "first", HOT_SHARE).collect()]
+    seen = rows.select("first") if first_terms is None else first_terms.toDF("term").select(_escaped(F.col("term")).alias("first"))
+    hot = [r[0] for r in heavy_keys(seen, "first", HOT_SHARE).collect()]
     part = F.when(F.col("first").isin(hot), F.pmod(F.xxhash64("record"), F.lit(salts))).otherwise(0) if hot else F.lit(0)
     routed = (
         rows.withColumn("part", part.cast("int"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wordloom.llm.clusters import cluster_members, cluster_pairs, described_clusters
 from wordloom.llm.distinctive import context_scores, frequent_targets
 from wordloom.llm.frequent import most_frequent, values_above_share
+from wordloom.llm.langid import document_languages, document_stretches, fitted_on, labels_named, relabelled
+from wordloom.llm.leakage import leaked_items
 from wordloom.llm.neighbours import nearest_vectors
 from wordloom.llm.ngrams import marked, ngram_counts
 from wordloom.llm.pairs import pair_association, pairs_above_chance
@@ -41,11 +43,12 @@ def p2_pair_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = counting_records(spark, sf_dir)
-    counts = ngram_counts(
-        records.select("slice_id", F.array("w").alias("terms"), "freq"), "slice_id", "terms", 1, "freq"
-    )
-    slices = records.agg(F.count_distinct("slice_id")).scalar()
+    records = counting_records(spark, sf_dir).select("slice_id", F.array("w").alias("terms"), "freq")
+    delivered = read_table(spark, sf_dir, "word_slice")
+    counts = ngram_counts(records, "slice_id", "terms", 1, "freq", first_terms=delivered.select("w"))
+    # A slice has a counting record exactly if it has a usable one.
+    usable = delivered.where(F.col("w").isNotNull() & (F.col("freq") > 0))
+    slices = usable.agg(F.count_distinct("slice_id")).scalar()
     return marked(counts, slices, 3, (2, 5)).withColumnRenamed("gram", "w")
 
 
@@ -98,6 +101,32 @@ def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(words, "other").select("idx", "other", "w", F.round("cos", 4).alias("cos"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaked_items(documents, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    samples, labels = read_table(spark, sf_dir, "lang_sample"), read_table(spark, sf_dir, "lang_label")
+    return document_stretches(documents, fitted_on(documents, samples, labels))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = document_languages(_stretches(spark, sf_dir))
+    labels = read_table(spark, sf_dir, "lang_label")
+    documents = labels_named(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), labels)
+    return relabelled(shares, documents.select("doc_id", "label_lang"), (15, 100))
+
+
+def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stretches(spark, sf_dir).withColumn("confidence", F.round("confidence", 4))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_words": p1_top_words,
@@ -111,6 +140,10 @@ QUERIES = {
     "p5_context_scores": p5_context_scores,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_stretches": p10_stretches,
 }
 
 COUNTING = """
