@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import WHITE, token_count
 from wordloom.llm.clusters import cluster_members, cluster_pairs, described_clusters
 from wordloom.llm.distinctive import context_scores, frequent_targets
 from wordloom.llm.frequent import most_frequent, values_above_share
@@ -12,6 +13,7 @@ from wordloom.llm.langid import document_languages, document_stretches, fitted_o
 from wordloom.llm.leakage import leaked_items
 from wordloom.llm.neighbours import nearest_vectors
 from wordloom.llm.ngrams import marked, ngram_counts
+from wordloom.llm.packing import packed_items
 from wordloom.llm.pairs import pair_association, pairs_above_chance
 from wordloom.llm.vectors import usable_vectors
 from wordloom.operators.dedupe import latest_count
@@ -101,6 +103,14 @@ def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(words, "other").select("idx", "other", "w", F.round("cos", 4).alias("cos"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    written = read_table(spark, sf_dir, "documents").where(text.rlike(f"[^{WHITE}]"))
+    # The closing break is one more token.
+    items = written.select("doc_id", (token_count(text) + 1).alias("n_tokens"))
+    return packed_items(items, read_table(spark, sf_dir, "pack_spec"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("item_id", "doc_id")
 
@@ -140,6 +150,7 @@ QUERIES = {
     "p5_context_scores": p5_context_scores,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
+    "p8_packed": p8_packed,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
