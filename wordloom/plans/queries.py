@@ -1,45 +1,598 @@
-"""Named queries over the core operators, with their SQL."""
+"""Named queries over the core operators; their SQL is in plans.oracle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.hashing import fnv1_32
+from wordloom.operators import association as assoc
+from wordloom.operators import cooc, sampling, subword, train, vectors, vocab, windows
 from wordloom.operators.skew import word_line_totals
-from wordloom.runtime import read_table
+from wordloom.operators.tokenize import drop_unterminated, tokenize
+from wordloom.params import Params
+from wordloom.plans.oracle import ORACLE  # noqa: F401  (named by the entry)
+from wordloom.runtime import cut_lineage, read_table
+from wordloom.sources.formats import vector_lines
 
-LINES_ONCE = """
-SELECT corpus_id, run_no, w_idx, c_idx, max(cooc) AS cooc, count(*) AS delivered
-FROM cooc_line WHERE w_idx IS NOT NULL GROUP BY ALL
-"""
+FLAGSHIP = "assoc_cpmi"
 
+#: Settings of the queries: exact variants do not subsample.
+P = Params(minfreq=5, window=2, subsample=0.0, negative=5, buckets=10_000, dim=64, seed=1)
+HASHED = replace(P, subsample=1e-4)
+DIM = 64
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", "text")
+
+
+def _tokens(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
+    return tokenize(_documents(spark, d), p)
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return vocab.word_counts(_tokens(spark, d))
+
+
+def _kept(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
+    """Tokens of the vocabulary, subsampled if p says so."""
+    cut = vocab.cut_counts(_counts(spark, d), p)
+    size = vocab.corpus_size(_counts(spark, d), p).first()[0] if p.subsample > 0 else 0
+    return sampling.subsampled(_tokens(spark, d, p), cut, size, p)
+
+
+def _words(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
+    return windows.sentences(_kept(spark, d, p), p)
+
+
+def _pairs(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
+    return windows.window_pairs(_words(spark, d, p), p)
+
+
+def _cells(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
+    return cooc.cooc_cells(_pairs(spark, d, p))
+
+
+# Tokens and sentences.
+
+
+@query
+def tokenize_default(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d)
+
+
+@query
+def tokenize_period_ws(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d, replace(P, period_is_whitespace=True))
+
+
+@query
+def tokenize_unterminated(spark: SparkSession, d: str) -> DataFrame:
+    return drop_unterminated(tokenize(_documents(spark, d), P, terminated=False))
+
+
+@query
+def sentence_lengths(spark: SparkSession, d: str) -> DataFrame:
+    words = windows.sentences(_tokens(spark, d), P)
+    return words.groupBy("doc_id", "sent").agg(F.count(F.lit(1)).alias("n_words"))
+
+
+@query
+def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
+    words = windows.sentences(_kept(spark, d), replace(P, max_sentence=20))
+    return words.groupBy("doc_id", "sent", "chunk").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"))
+
+
+# Vocabularies.
+
+
+@query
+def vocab_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d)
+
+
+@query
+def raw_corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    return _tokens(spark, d).agg(F.count(F.lit(1)).alias("n_tokens"))
+
+
+@query
+def vocab_minfreq(spark: SparkSession, d: str) -> DataFrame:
+    return vocab.build_vocab(_counts(spark, d), P)
+
+
+@query
+def vocab_maxvocab(spark: SparkSession, d: str) -> DataFrame:
+    return vocab.build_vocab(_counts(spark, d), replace(P, maxvocab=500))
+
+
+@query
+def vocab_ctxbreak_readded(spark: SparkSession, d: str) -> DataFrame:
+    """Words that cut the break away: it comes back with freq 0, last."""
+    counts = _counts(spark, d).where(F.col("w") != "</s>")
+    return vocab.build_vocab(counts, replace(P, maxvocab=50))
+
+
+@query
+def corpus_size_build(spark: SparkSession, d: str) -> DataFrame:
+    return vocab.corpus_size(_counts(spark, d), replace(P, maxvocab=500), "build")
+
+
+@query
+def corpus_size_stored(spark: SparkSession, d: str) -> DataFrame:
+    return vocab.corpus_size(_counts(spark, d), replace(P, maxvocab=500), "stored")
+
+
+@query
+def oov_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _kept(spark, d)
+
+
+@query
+def ctx_slots(spark: SparkSession, d: str) -> DataFrame:
+    return vocab.context_slots(vocab.cut_counts(_counts(spark, d), P), P)
+
+
+@query
+def ctx_vocab_positional(spark: SparkSession, d: str) -> DataFrame:
+    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), P), P)
+    return vocab.context_vocab(slots, _pairs(spark, d))
+
+
+@query
+def ctx_vocab_plain(spark: SparkSession, d: str) -> DataFrame:
+    p = replace(P, positional=False)
+    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), p), p)
+    return vocab.context_vocab(slots, _pairs(spark, d, p)).drop("base_w", "pos")
+
+
+@query
+def ctx_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts that the vocabulary lacks; none, as both come from one corpus."""
+    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), P), P)
+    return vocab.unknown_contexts(slots, _pairs(spark, d))
+
+
+# Windows.
+
+
+@query
+def window_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).groupBy("doc_id", "sent", "w", "c").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def window_pairs_plain(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(spark, d, replace(P, positional=False))
+    return pairs.select("doc_id", "sent", "rn", "w", "c", "pos")
+
+
+@query
+def window_weighted(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(spark, d, replace(P, weight_window=True))
+    return pairs.select("doc_id", "sent", "rn", "w", "c")
+
+
+@query
+def target_only_events(spark: SparkSession, d: str) -> DataFrame:
+    return windows.target_events(_words(spark, d)).groupBy("w").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+# Co-occurrence.
+
+
+@query
+def cooc_positional(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d)
+
+
+@query
+def cooc_plain(spark: SparkSession, d: str) -> DataFrame:
+    return _cells(spark, d, replace(P, positional=False))
+
+
+@query
+def row_totals(spark: SparkSession, d: str) -> DataFrame:
+    return cooc.row_totals(_cells(spark, d))
+
+
+@query
+def col_totals(spark: SparkSession, d: str) -> DataFrame:
+    return cooc.col_totals(_cells(spark, d))
+
+
+@query
+def cds_total(spark: SparkSession, d: str) -> DataFrame:
+    total = cooc.smoothed_total(cooc.col_totals(_cells(spark, d)), P.cds)
+    return total.select(F.round("cds_total", 2).alias("cds_total"))
+
+
+@query
+def marginal_logs(spark: SparkSession, d: str) -> DataFrame:
+    cols = cooc.col_totals(_cells(spark, d))
+    log = F.ln(F.pow(F.col("total").cast("double"), F.lit(P.cds)))
+    return cols.select("c", "total", F.round(log, 6).alias("log_total"))
+
+
+@query
+def cooc_lookup_default0(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one draw of the corpus looked up in the matrix of another."""
+    pairs = _pairs(spark, d, replace(HASHED, seed=2)).select("w", "c").distinct()
+    return cooc.cells_or_zero(pairs, _cells(spark, d, HASHED))
+
+
+@query
+def cooc_sorted_index(spark: SparkSession, d: str) -> DataFrame:
+    words = vocab.build_vocab(_counts(spark, d), P)
+    p = replace(P, positional=False)
+    slots = vocab.context_slots(words, p)
+    contexts = vocab.context_vocab(slots, _pairs(spark, d, p))
+    return cooc.indexed_cells(_cells(spark, d, p), words, contexts).orderBy("w_idx", "c_idx")
+
+
+@query
+def spool_estimate(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.col("total") * (1 + F.lit(P.negative / (2 * P.window)))
+    total = _cells(spark, d).agg(F.sum("cooc").alias("total"))
+    return total.select(
+        "total", F.round(lines, 3).alias("lines"), F.round(lines * 28, 3).alias("peak_bytes"), F.round(lines * 12, 3).alias("final_bytes")
+    )
+
+
+# Association.
+
+
+def _scored(spark: SparkSession, d: str, measure: str, p: Params = P) -> DataFrame:
+    cells = _cells(spark, d, p)
+    return assoc.association(cells, cells, p, measure)
+
+
+def _rounded(scored: DataFrame) -> DataFrame:
+    return scored.select("w", "c", "cooc", (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query
+def assoc_pmi(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_scored(spark, d, "pmi"))
+
+
+@query
+def assoc_cpmi(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_scored(spark, d, "cpmi"))
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = word_line_totals(read_table(spark, sf_dir, "cooc_line"))
-    rows = read_table(spark, sf_dir, "cooc_line").agg(F.count(F.lit(1)))
-    return totals.where(F.col("n_rows") * 100 >= rows.scalar()).select("w_idx")
 
+@query
+def assoc_npmi(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_scored(spark, d, "npmi"))
 
-def p6_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_line_totals(read_table(spark, sf_dir, "cooc_line"))
 
+@query
+def assoc_nnegpmi(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_scored(spark, d, "nnegpmi"))
 
-FLAGSHIP = "p6_word_totals"
 
-QUERIES = {
-    "p6_found": p6_found,
-    "p6_word_totals": p6_word_totals,
-}
+@query
+def assoc_unseen(spark: SparkSession, d: str) -> DataFrame:
+    """All measures on cells that may be empty: clip, -1 and -1 there."""
+    cells = _cells(spark, d, HASHED)
+    pairs = _pairs(spark, d, replace(HASHED, seed=2)).select("w", "c").distinct()
+    totals = assoc.with_totals(cooc.cells_or_zero(pairs, cells), cells, HASHED)
+    clipped = replace(HASHED, clip=-0.5)
+    return totals.select(
+        "w", "c", "cooc",
+        *[(F.round(assoc.MEASURES[m](clipped), 6) + 0.0).alias(m) for m in ("cpmi", "npmi", "nnegpmi")],
+    )
+
+
+@query
+def process_all(spark: SparkSession, d: str) -> DataFrame:
+    return assoc.processed(_scored(spark, d, "npmi"), P).groupBy("w").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query
+def process_gt(spark: SparkSession, d: str) -> DataFrame:
+    p = replace(P, process="gt", process_threshold=0.2500001)
+    return assoc.processed(_scored(spark, d, "npmi"), p).groupBy("w").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query
+def process_leq(spark: SparkSession, d: str) -> DataFrame:
+    p = replace(P, process="leq", process_threshold=0.2500001)
+    return assoc.processed(_scored(spark, d, "npmi"), p).groupBy("w").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+# Sampling.
+
+
+def _sampling(spark: SparkSession, d: str) -> DataFrame:
+    words = vocab.cut_counts(_counts(spark, d), P)
+    size = vocab.corpus_size(_counts(spark, d), P).scalar()
+    return words.withColumn("corpus_size", size)
+
+
+@query
+def subsample_prob(spark: SparkSession, d: str) -> DataFrame:
+    p = sampling.subsample_p(F.col("freq"), F.col("corpus_size"), HASHED.subsample)
+    return _sampling(spark, d).select("w", "freq", (F.round(p, 6) + 0.0).alias("p_drop"))
+
+
+@query
+def keep_prob(spark: SparkSession, d: str) -> DataFrame:
+    p = sampling.keep_p(F.col("freq"), F.col("corpus_size"), HASHED.subsample)
+    return _sampling(spark, d).select("w", (F.round(p, 6) + 0.0).alias("p_keep"))
+
+
+@query
+def subsampled_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _kept(spark, d, HASHED)
+
+
+def _noise(spark: SparkSession, d: str) -> DataFrame:
+    p = replace(P, positional=False)
+    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), p), p)
+    return sampling.noise_table(vocab.context_vocab(slots, _pairs(spark, d, p)), p)
+
+
+@query
+def noise_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return _noise(spark, d)
+
+
+def _draws(spark: SparkSession, d: str) -> DataFrame:
+    events = windows.target_events(_words(spark, d, replace(P, positional=False)))
+    return sampling.drawn(events, _noise(spark, d), ["doc_id", "sent", "rn"], P)
+
+
+@query
+def noise_draws(spark: SparkSession, d: str) -> DataFrame:
+    return _draws(spark, d).select("doc_id", "sent", "rn", "k", "c")
+
+
+@query
+def negative_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _draws(spark, d).groupBy("w", "c").agg(F.count(F.lit(1)).alias("n_draws"))
+
+
+def _spool(spark: SparkSession, d: str) -> DataFrame:
+    return cooc.spooled(_pairs(spark, d, replace(P, positional=False)), _draws(spark, d))
+
+
+@query
+def cooc_em_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return _spool(spark, d)
+
+
+@query
+def cooc_em_replicate(spark: SparkSession, d: str) -> DataFrame:
+    return cooc.replicated(_spool(spark, d)).groupBy("w").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("cooc").alias("sum_cooc"))
+
+
+@query
+def cooc_em_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return cooc.shuffled(cooc.replicated(_spool(spark, d)), ["w", "c", "k"], 9).select("place", "w", "c", "k", "cooc")
+
+
+@query
+def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """The rate at each tenth of a training of P.iterations epochs."""
+    steps = spark.range(0, 10 * P.iterations + 1).select(F.col("id").alias("step"))
+    rate = train.learning_rate_column(F.col("step") / (10.0 * P.iterations), P.alpha)
+    return steps.select("step", F.round(rate, 9).alias("rate"))
+
+
+# Subwords.
+
+
+@query
+def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    words = vocab.cut_counts(_counts(spark, d), P).select("w")
+    return subword.word_ngrams(words, P)
+
+
+@query
+def ngrams_codepoint(spark: SparkSession, d: str) -> DataFrame:
+    words = vocab.cut_counts(_counts(spark, d), P).select("w")
+    return subword.word_ngrams(words, replace(P, ngram_unit="char"))
+
+
+@query
+def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
+    words = vocab.cut_counts(_counts(spark, d), P).select("w")
+    return words.select("w", fnv1_32(F.hex(F.encode("w", "UTF-8"))).alias("h"))
+
+
+def _vocab(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    words = cut_lineage(vocab.build_vocab(_counts(spark, d), P))
+    return words, words.count()
+
+
+@query
+def word_subwords(spark: SparkSession, d: str) -> DataFrame:
+    words, n = _vocab(spark, d)
+    return subword.word_subwords(words, n, P)
+
+
+def _listed(words: DataFrame) -> DataFrame:
+    """Lines as a subword file has them, here each word cut in two."""
+    half = F.ceil(F.length("w") / 2).cast("int")
+    line = F.concat_ws(" ", "w", F.substr("w", F.lit(1), half), F.substr("w", half + 1), F.concat(F.lit("<"), "w", F.lit(">")))
+    return words.select(line.alias("value"))
+
+
+@query
+def subword_file(spark: SparkSession, d: str) -> DataFrame:
+    words = vocab.cut_counts(_counts(spark, d), P).where(~F.col("w").contains(" "))
+    indexed = words.select("w", F.xxhash64("w").alias("idx"))
+    listed = subword.parsed_subword_lines(_listed(words))
+    return subword.listed_subwords(indexed, listed).join(indexed.select(F.col("idx").alias("w_idx"), "w"), "w_idx").select("w", "ord", "sw")
+
+
+# Vectors: rows of `embeddings` serve as matrix rows.
+
+
+def _matrix(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("embedding").alias("v"))
+
+
+def _long(rows: DataFrame, key: str) -> DataFrame:
+    out = vectors.components_of(rows, key, "v")
+    return out.select(key, "d", (F.round("x", 6) + 0.0).alias("x"))
+
+
+def _row_words(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's label as its word: label 3 is word3."""
+    rows = read_table(spark, d, "embeddings")
+    return rows.select(F.concat(F.lit("word"), F.col("label").cast("string")).alias("w"), "vec_id", F.col("embedding").alias("v"))
+
+
+@query
+def compose_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of the rows of each label, as if they were a word's subwords."""
+    rows = read_table(spark, d, "embeddings")
+    parts = rows.select(F.col("label").cast("bigint").alias("w_idx"), F.lit(0).cast("bigint").alias("ord"), F.col("vec_id").alias("sw_idx"))
+    return _long(vectors.composed(parts, _matrix(spark, d), DIM), "w_idx")
+
+
+@query
+def merge_context_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Even rows are words' vectors (the smallest of a label), odd rows are
+    their contexts' vectors at some position."""
+    rows = _row_words(spark, d)
+    even = rows.where(F.col("vec_id") % 2 == 0)
+    words = even.groupBy("w").agg(F.min_by("v", "vec_id").alias("v"))
+    position = F.when(F.col("vec_id") % 4 == 1, "-1").otherwise("1")
+    contexts = rows.where(F.col("vec_id") % 2 == 1).select(F.concat_ws("_", "w", position).alias("c"), "v")
+    words = words.withColumn("v", F.transform("v", lambda x: x.cast("double")))
+    return _long(vectors.merged_contexts(words, contexts, DIM, True), "w")
+
+
+@query
+def embed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors for the benchmark's words: known rows and hashed subwords of a
+    model whose words are the labels and whose rows are the embeddings."""
+    matrix = _matrix(spark, d)
+    labels = read_table(spark, d, "embeddings").select("label").distinct()
+    words = labels.select(F.concat(F.lit("word"), F.col("label").cast("string")).alias("w"), F.col("label").cast("bigint").alias("idx"))
+    asked = tokenize(read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), P).select("w")
+    size = matrix.count()
+    n = words.count()
+    asked = asked.unionByName(words.select("w"))
+    out = vectors.embedded(asked, words, matrix, n, DIM, replace(P, buckets=size - n))
+    return _long(out, "w")
+
+
+@query
+def sgd_batch_gradient(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    words = rows.select(F.col("vec_id").alias("w_idx"), "v")
+    contexts = rows.select(F.col("vec_id").alias("c_idx"), "v")
+    examples = rows.select(
+        F.col("vec_id").alias("w_idx"), F.explode(F.array(*[(F.col("vec_id") * k + 1) % 100 for k in (3, 7, 11)])).alias("c_idx")
+    ).withColumn("y", (F.col("w_idx") % 5).cast("double"))
+    grad = vectors.batch_gradient(examples, words, contexts)
+    return grad.select("w_idx", "d", (F.round("grad", 6) + 0.0).alias("grad"))
+
+
+@query
+def vectors_text(spark: SparkSession, d: str) -> DataFrame:
+    named = read_table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("idx"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("w"), F.transform("embedding", lambda x: x.cast("double")).alias("v")
+    )
+    return vector_lines(named, "w")
+
+
+@query
+def init_vectors(spark: SparkSession, d: str) -> DataFrame:
+    keys = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row"))
+    return _long(vectors.initial_vectors(keys, 8, 4), "row")
+
+
+# Training.
+
+TRAIN = Params(minfreq=20, window=2, subsample=0.0, negative=2, minn=0, dim=16, iterations=2, positional=False, batch=200)
+
+
+def _indexed(spark: SparkSession, d: str, p: Params) -> tuple[DataFrame, DataFrame, int, int]:
+    words = cut_lineage(vocab.build_vocab(_counts(spark, d), p))
+    pairs = _pairs(spark, d, p)
+    contexts = cut_lineage(vocab.context_vocab(vocab.context_slots(words, p), pairs))
+    return words, contexts, words.count(), contexts.count()
+
+
+def _examples(scored: DataFrame, words: DataFrame, contexts: DataFrame, p: Params) -> DataFrame:
+    kept = assoc.processed(scored, p)
+    rows, cols = words.select("w", F.col("idx").alias("w_idx")), contexts.select("c", F.col("idx").alias("c_idx"))
+    return kept.join(rows, "w").join(cols, "c")
+
+
+def _losses(spark: SparkSession, result: train.Trained) -> DataFrame:
+    rows = [(i, float(x)) for i, x in enumerate(result.losses)]
+    return spark.createDataFrame(rows, "iteration bigint, half_sq_loss double")
+
+
+def trained_em(spark: SparkSession, d: str, p: Params) -> train.Trained:
+    """Vectors from a spool: noise is drawn once, y comes from the cells."""
+    words, contexts, n, m = _indexed(spark, d, p)
+    noise = sampling.noise_table(contexts, p)
+    kept = windows.target_events(_words(spark, d, p))
+    draws = sampling.drawn(kept, noise, ["doc_id", "sent", "rn"], p)
+    pairs = _pairs(spark, d, p)
+    spool = cut_lineage(cooc.spooled(pairs, draws))
+    cells = spool.where(F.col("cooc") > 0).select("w", "c", "cooc")
+    totals = assoc.association(spool, cells, p)
+    lines = cut_lineage(_examples(totals, words, contexts, p).select("w_idx", "c_idx", "y", "sampled"))
+    return train.train(train.spool_examples(lines), n, m, p)
+
+
+def trained_im(spark: SparkSession, d: str, p: Params) -> train.Trained:
+    """Vectors from the corpus: each epoch subsamples and draws noise anew."""
+    words, contexts, n, m = _indexed(spark, d, p)
+    noise = cut_lineage(sampling.noise_table(contexts, p))
+    cells = cut_lineage(_cells(spark, d, p))
+
+    def epoch(it: int) -> DataFrame:
+        q = replace(p, seed=p.seed + 100 * (it + 1))
+        kept = _words(spark, d, q)
+        positive = windows.window_pairs(kept, q).select("w", "c")
+        draws = sampling.drawn(windows.target_events(kept), noise, ["doc_id", "sent", "rn"], q).select("w", "c")
+        both = positive.unionByName(draws).groupBy("w", "c").agg(F.count(F.lit(1)).alias("sampled"))
+        scored = assoc.association(cooc.cells_or_zero(both, cells), cells, p)
+        return train.spool_examples(_examples(scored, words, contexts, p).select("w_idx", "c_idx", "y", "sampled"))
+
+    return train.train(epoch, n, m, p)
+
+
+@query
+def train_im(spark: SparkSession, d: str) -> DataFrame:
+    return _losses(spark, trained_im(spark, d, TRAIN))
+
+
+@query
+def train_em(spark: SparkSession, d: str) -> DataFrame:
+    return _losses(spark, trained_em(spark, d, TRAIN))
+
+
+# Stored runs.
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    totals = word_line_totals(read_table(spark, d, "cooc_line"))
+    rows = read_table(spark, d, "cooc_line").agg(F.count(F.lit(1)))
+    return totals.where(F.col("n_rows") * 100 >= rows.scalar()).select("w_idx")
+
 
-ORACLE = {
-    "p6_found": """
-SELECT w_idx FROM cooc_line WHERE w_idx IS NOT NULL GROUP BY w_idx
-HAVING count(*) * 100 >= (SELECT count(*) FROM cooc_line)
-""",
-    "p6_word_totals": f"""
-SELECT w_idx, CAST(sum(delivered) AS BIGINT) AS n_rows,
-       CAST(coalesce(sum(CASE WHEN c_idx IS NOT NULL THEN cooc END), 0) AS BIGINT) AS sum_cooc,
-       count(DISTINCT CASE WHEN cooc > 0 THEN c_idx END) AS n_contexts
-FROM ({LINES_ONCE}) GROUP BY w_idx
-""",
-}
+@query
+def p6_word_totals(spark: SparkSession, d: str) -> DataFrame:
+    return word_line_totals(read_table(spark, d, "cooc_line"))
