@@ -25,14 +25,13 @@ def usable_vectors(df: DataFrame, dim: int = DIM) -> DataFrame:
         F.col("idx").isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0)
     )
     last = usable.groupBy("idx").agg(F.max(F.struct("trained_at", "iteration", "w", "m_vec")).alias("last"))
+    # Divisors go through array_repeat: named inside the lambda, they would be
+    # computed again for every component.
+    over = lambda v, by: F.zip_with(v, F.array_repeat(by, dim), lambda x, y: x / y)
     big = F.array_max(F.transform("vec", lambda x: F.abs(x)))
-    scaled = last.select("idx", F.col("last.w").alias("w"), F.col("last.m_vec").alias("vec")).withColumn(
-        "vec", F.transform("vec", lambda x: x / big)
-    )
+    scaled = last.select("idx", F.col("last.w").alias("w"), F.col("last.m_vec").alias("vec")).withColumn("vec", over("vec", big))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("norm", norm).select(
-        "idx", "w", F.transform("vec", lambda x: x / F.col("norm")).alias("unit")
-    )
+    return scaled.select("idx", "w", over("vec", norm).alias("unit"))
 
 
 def copies_collapsed(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,8 +40,9 @@ def copies_collapsed(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     A vector held by any share of the rows is one representative, so later
     steps never meet a group of copies.
     """
-    reps = vectors.groupBy("unit").agg(F.min("idx").alias("rep"))
-    held = vectors.select("idx", "unit").join(reps, "unit").select("idx", "rep")
+    hashed = vectors.select("idx", F.xxhash64("unit").alias("hash"), "unit")
+    reps = hashed.groupBy("hash", "unit").agg(F.min("idx").alias("rep"))
+    held = hashed.join(reps, ["hash", "unit"]).select("idx", "rep")
     return reps.select(F.col("rep").alias("idx"), "unit"), held
 
 
