@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordloom.functions.hashing import hash60, uniform
 from wordloom.functions.text import CONTEXT_BREAK
@@ -60,7 +61,7 @@ def drawn(events: DataFrame, noise: DataFrame, keys: list[str], p: Params, seed:
     bounds = noise.agg(F.max("cum_q").alias("total"), F.count(F.lit(1)).alias("n")).first()
     spark = events.sparkSession
     if not bounds["total"]:
-        return spark.createDataFrame([], events.schema.add("k", "bigint").add("c", "string"))
+        return spark.createDataFrame([], T.StructType([*events.schema.fields, T.StructField("k", T.LongType()), T.StructField("c", T.StringType())]))
     total, width = bounds["total"], max(1, -(-bounds["total"] // max(1024, bounds["n"])))
     section = lambda x: F.floor(x / F.lit(width)).cast("bigint")
     low = F.col("cum_q") - F.col("q")

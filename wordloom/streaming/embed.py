@@ -46,8 +46,8 @@ def embed_stream(lines: DataFrame, path: str) -> DataFrame:
         index = {w: i for i, w in enumerate(model.words)}
         for pdf in batches:
             parts = [x.split() for x in pdf["value"] if x and x.strip()]
-            yield pd.DataFrame(
-                {"w": [x[0] for x in parts], "v": [word_vector(model, index, x[0], x[1:] or None) for x in parts]}
-            )
+            found = [word_vector(model, index, x[0], x[1:] or None) for x in parts]
+            # Columns of no rows have no kind of their own.
+            yield pd.DataFrame({"w": pd.Series([x[0] for x in parts], dtype=object), "v": pd.Series(found, dtype=object)})
 
     return lines.select("value").mapInPandas(run, "w string, v array<double>")
