@@ -86,6 +86,8 @@ class LangModel:
         self.base = len(self.letters) + 2  # 0: unknown letter, last: word edge
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         words = sorted({w for c in folded.values() for w in c})
+        if not words:
+            return
         weights = np.array([[np.log1p(folded[lang][w]) for lang in self.langs] for w in words], np.float32)
         for size in range(1, NGRAM + 1):
             code, owner = self._codes(words, size)
@@ -140,9 +142,9 @@ class LangModel:
         open_ = np.ones(len(code), bool)
         open_[-1] = False
         for size in range(NGRAM, 0, -1):
-            keys, logs = self.grams[size - 1]
-            if len(code) < size:
+            if len(code) < size or len(self.grams) < size:
                 continue
+            keys, logs = self.grams[size - 1]
             grams = np.zeros(len(code) - size + 1, np.int64)
             for k in range(size):
                 grams = grams * self.base + code[k : k + len(grams)]
@@ -240,7 +242,7 @@ def stretches(scorer: Scorer, texts: list[str | None]) -> list[list[Stretch]]:
     out: list[list[Stretch]] = [[] for _ in texts]
     kept = [k for k, t in enumerate(texts) if t]
     all_ = tokens(f"\n{MARK}\n".join(texts[k].replace(MARK, " ") for k in kept))
-    if not all_:
+    if not all_ or not scorer.model.langs:
         return out
     code = scorer.codes(all_)
     word = code > 1
@@ -309,7 +311,7 @@ def _agreeing(scorer: Scorer, texts: list[str]) -> list[str | None]:
     code = scorer.codes(all_)
     word = code > 1
     out: list[str | None] = [None] * len(texts)
-    if not word.any():
+    if not word.any() or not scorer.model.langs:
         return out
     sentence, doc = np.cumsum(~word)[word], np.cumsum(code == 0)[word]
     begin = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
@@ -324,10 +326,12 @@ def _agreeing(scorer: Scorer, texts: list[str]) -> list[str | None]:
 
 
 def labels_named(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents with label_lang: what the label means, null if no language."""
+    """documents with label_lang: what the label means, null if no language.
+
+    Columns label_lang and label_key that documents may have are replaced."""
     # One meaning per label; the table of labels is a reference list.
     known = labels.where("label is not null").groupBy(F.lower(F.trim("label")).alias("label_key")).agg(F.min("lang").alias("label_lang"))
-    keyed = documents.withColumn("label_key", F.lower(F.trim("lang")))
+    keyed = documents.drop("label_lang").withColumn("label_key", F.lower(F.trim("lang")))
     return keyed.join(known, "label_key", "left").drop("label_key")
 
 
@@ -347,7 +351,8 @@ def document_stretches(documents: DataFrame, model: LangModel) -> DataFrame:
     """(doc_id, stretch, lang, n_words, confidence), stretches numbered from 0.
 
     Null and blank texts and dumps of counts or vectors have no words and
-    give no row.  A word is a run of letters.  Other columns are ignored;
+    give no row, nor does a model without languages.  A word is a run of
+    letters.  Other columns are ignored;
     every row is judged on its own, so rows with one doc_id repeat.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
