@@ -102,7 +102,7 @@ def test_plain_windows_are_symmetric(spark):
 def test_mirror_of_positions(spark, sf_dir):
     from wordloom.plans import queries
 
-    cells = queries._pairs(spark, sf_dir).groupBy("w", "base_w", "pos").count()
+    cells = queries._corpus(spark, sf_dir).pairs.groupBy("w", "base_w", "pos").count()
     mirror = cells.select(F.col("base_w").alias("w"), F.col("w").alias("base_w"), (-F.col("pos")).alias("pos"), "count")
     assert cells.exceptAll(mirror).count() == 0
 

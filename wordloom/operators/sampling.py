@@ -10,6 +10,7 @@ from wordloom.functions.hashing import hash60, uniform
 from wordloom.functions.text import CONTEXT_BREAK
 from wordloom.operators.ordered import ranked
 from wordloom.params import Params
+from wordloom.runtime import broadcast_if_small
 
 
 def subsample_p(freq: Column, corpus_size: Column, t: float) -> Column:
@@ -29,9 +30,10 @@ def subsampled(tokens: DataFrame, vocab: DataFrame, size: int, p: Params) -> Dat
 
     Words outside the vocabulary go first, then each occurrence is dropped
     with its word's probability; breaks always stay.  Both happen before
-    windows are formed, so survivors move closer together.
+    windows are formed, so survivors move closer together.  The vocabulary
+    should be a stored table; it is broadcast if it is small.
     """
-    kept = tokens.join(vocab.select("w", "freq"), "w")
+    kept = tokens.join(broadcast_if_small(vocab.select("w", "freq")), "w")
     if p.subsample > 0:
         drop = subsample_p(F.col("freq"), F.lit(size), p.subsample)
         kept = kept.where((F.col("w") == CONTEXT_BREAK) | (uniform(p.seed, "doc_id", "pos") > drop))

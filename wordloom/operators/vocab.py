@@ -30,7 +30,11 @@ def cut_counts(counts: DataFrame, p: Params) -> DataFrame:
 
 def build_vocab(counts: DataFrame, p: Params) -> DataFrame:
     """(w, idx, freq), idx the rank by freq from 0; a break that was cut is last."""
-    return ranked(cut_counts(counts, p), [F.desc("freq"), F.asc("w")], "idx").select("w", "idx", "freq")
+    return ranked_vocab(cut_counts(counts, p))
+
+
+def ranked_vocab(cut: DataFrame) -> DataFrame:
+    return ranked(cut, [F.desc("freq"), F.asc("w")], "idx").select("w", "idx", "freq")
 
 
 def corpus_size(counts: DataFrame, p: Params, scope: str = "stored") -> DataFrame:
@@ -63,13 +67,20 @@ def context_counts(slots: DataFrame, pairs: DataFrame) -> DataFrame:
 
     pairs has (c) per event; contexts outside the slots are an error in the
     data and are left out here (see unknown_contexts)."""
-    seen = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("freq"))
+    return with_counts(slots, pairs.groupBy("c").agg(F.count(F.lit(1)).alias("freq")))
+
+
+def with_counts(slots: DataFrame, seen: DataFrame) -> DataFrame:
     return slots.join(seen, "c", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
 
 
 def context_vocab(slots: DataFrame, pairs: DataFrame) -> DataFrame:
     """context_counts with idx, the rank by freq (ties by name)."""
-    return ranked(context_counts(slots, pairs), [F.desc("freq"), F.asc("c")], "idx").select("c", "base_w", "pos", "idx", "freq")
+    return ranked_contexts(context_counts(slots, pairs))
+
+
+def ranked_contexts(counts: DataFrame) -> DataFrame:
+    return ranked(counts, [F.desc("freq"), F.asc("c")], "idx").select("c", "base_w", "pos", "idx", "freq")
 
 
 def unknown_contexts(slots: DataFrame, pairs: DataFrame) -> DataFrame:

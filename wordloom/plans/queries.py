@@ -15,7 +15,8 @@ from wordloom.operators.skew import word_line_totals
 from wordloom.operators.tokenize import drop_unterminated, tokenize
 from wordloom.params import Params
 from wordloom.plans.oracle import ORACLE  # noqa: F401  (named by the entry)
-from wordloom.runtime import cut_lineage, read_table
+from wordloom.plans.pipeline import Corpus, trained_em, trained_im
+from wordloom.runtime import read_table
 from wordloom.sources.formats import vector_lines
 
 FLAGSHIP = "assoc_cpmi"
@@ -23,6 +24,7 @@ FLAGSHIP = "assoc_cpmi"
 #: Settings of the queries: exact variants do not subsample.
 P = Params(minfreq=5, window=2, subsample=0.0, negative=5, buckets=10_000, dim=64, seed=1)
 HASHED = replace(P, subsample=1e-4)
+PLAIN = replace(P, positional=False)
 DIM = 64
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,31 +39,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", "text")
 
 
-def _tokens(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
-    return tokenize(_documents(spark, d), p)
-
-
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.word_counts(_tokens(spark, d))
-
-
-def _kept(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
-    """Tokens of the vocabulary, subsampled if p says so."""
-    cut = vocab.cut_counts(_counts(spark, d), p)
-    size = vocab.corpus_size(_counts(spark, d), p).first()[0] if p.subsample > 0 else 0
-    return sampling.subsampled(_tokens(spark, d, p), cut, size, p)
-
-
-def _words(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
-    return windows.sentences(_kept(spark, d, p), p)
-
-
-def _pairs(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
-    return windows.window_pairs(_words(spark, d, p), p)
-
-
-def _cells(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
-    return cooc.cooc_cells(_pairs(spark, d, p))
+def _corpus(spark: SparkSession, d: str, p: Params = P) -> Corpus:
+    return Corpus(_documents(spark, d), p)
 
 
 # Tokens and sentences.
@@ -69,12 +48,12 @@ def _cells(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
 
 @query
 def tokenize_default(spark: SparkSession, d: str) -> DataFrame:
-    return _tokens(spark, d)
+    return _corpus(spark, d).tokens
 
 
 @query
 def tokenize_period_ws(spark: SparkSession, d: str) -> DataFrame:
-    return _tokens(spark, d, replace(P, period_is_whitespace=True))
+    return _corpus(spark, d, replace(P, period_is_whitespace=True)).tokens
 
 
 @query
@@ -84,13 +63,13 @@ def tokenize_unterminated(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentence_lengths(spark: SparkSession, d: str) -> DataFrame:
-    words = windows.sentences(_tokens(spark, d), P)
+    words = windows.sentences(_corpus(spark, d).tokens, P)
     return words.groupBy("doc_id", "sent").agg(F.count(F.lit(1)).alias("n_words"))
 
 
 @query
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    words = windows.sentences(_kept(spark, d), replace(P, max_sentence=20))
+    words = _corpus(spark, d, replace(P, max_sentence=20)).words
     return words.groupBy("doc_id", "sent", "chunk").agg(F.count(F.lit(1)).alias("n_words"), F.min("pos").alias("first_pos"))
 
 
@@ -99,69 +78,68 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vocab_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(spark, d)
+    return _corpus(spark, d).counts
 
 
 @query
 def raw_corpus_size(spark: SparkSession, d: str) -> DataFrame:
-    return _tokens(spark, d).agg(F.count(F.lit(1)).alias("n_tokens"))
+    return _corpus(spark, d).tokens.agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
 @query
 def vocab_minfreq(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.build_vocab(_counts(spark, d), P)
+    return vocab.build_vocab(_corpus(spark, d).counts, P)
 
 
 @query
 def vocab_maxvocab(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.build_vocab(_counts(spark, d), replace(P, maxvocab=500))
+    return vocab.build_vocab(_corpus(spark, d).counts, replace(P, maxvocab=500))
 
 
 @query
 def vocab_ctxbreak_readded(spark: SparkSession, d: str) -> DataFrame:
     """Words that cut the break away: it comes back with freq 0, last."""
-    counts = _counts(spark, d).where(F.col("w") != "</s>")
+    counts = _corpus(spark, d).counts.where(F.col("w") != "</s>")
     return vocab.build_vocab(counts, replace(P, maxvocab=50))
 
 
 @query
 def corpus_size_build(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.corpus_size(_counts(spark, d), replace(P, maxvocab=500), "build")
+    return vocab.corpus_size(_corpus(spark, d).counts, replace(P, maxvocab=500), "build")
 
 
 @query
 def corpus_size_stored(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.corpus_size(_counts(spark, d), replace(P, maxvocab=500), "stored")
+    return vocab.corpus_size(_corpus(spark, d).counts, replace(P, maxvocab=500), "stored")
 
 
 @query
 def oov_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(spark, d)
+    return _corpus(spark, d).kept
 
 
 @query
 def ctx_slots(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.context_slots(vocab.cut_counts(_counts(spark, d), P), P)
+    return _corpus(spark, d).slots
 
 
 @query
 def ctx_vocab_positional(spark: SparkSession, d: str) -> DataFrame:
-    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), P), P)
-    return vocab.context_vocab(slots, _pairs(spark, d))
+    c = _corpus(spark, d)
+    return vocab.context_vocab(c.slots, c.pairs)
 
 
 @query
 def ctx_vocab_plain(spark: SparkSession, d: str) -> DataFrame:
-    p = replace(P, positional=False)
-    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), p), p)
-    return vocab.context_vocab(slots, _pairs(spark, d, p)).drop("base_w", "pos")
+    c = _corpus(spark, d, PLAIN)
+    return vocab.context_vocab(c.slots, c.pairs).drop("base_w", "pos")
 
 
 @query
 def ctx_unknown(spark: SparkSession, d: str) -> DataFrame:
     """Contexts that the vocabulary lacks; none, as both come from one corpus."""
-    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), P), P)
-    return vocab.unknown_contexts(slots, _pairs(spark, d))
+    c = _corpus(spark, d)
+    return vocab.unknown_contexts(c.slots, c.pairs)
 
 
 # Windows.
@@ -169,29 +147,34 @@ def ctx_unknown(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def window_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).groupBy("doc_id", "sent", "w", "c").agg(F.count(F.lit(1)).alias("n"))
+    return _corpus(spark, d).pairs.groupBy("doc_id", "sent", "w", "c").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def window_pairs_plain(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d, replace(P, positional=False))
+    pairs = _corpus(spark, d, PLAIN).pairs
     return pairs.select("doc_id", "sent", "rn", "w", "c", "pos")
 
 
 @query
 def window_weighted(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d, replace(P, weight_window=True))
+    pairs = _corpus(spark, d, replace(P, weight_window=True)).pairs
     return pairs.select("doc_id", "sent", "rn", "w", "c")
 
 
 @query
 def target_only_events(spark: SparkSession, d: str) -> DataFrame:
-    return windows.target_events(_words(spark, d)).groupBy("w").agg(F.count(F.lit(1)).alias("n_events"))
+    return _corpus(spark, d).events.groupBy("w").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 # Co-occurrence.
 
 
+def _cells(spark: SparkSession, d: str, p: Params = P) -> DataFrame:
+    """Not stored: these queries read the cells once."""
+    return cooc.cooc_cells(_corpus(spark, d, p).pairs)
+
+
 @query
 def cooc_positional(spark: SparkSession, d: str) -> DataFrame:
     return _cells(spark, d)
@@ -199,7 +182,7 @@ def cooc_positional(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cooc_plain(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, replace(P, positional=False))
+    return _cells(spark, d, PLAIN)
 
 
 @query
@@ -225,20 +208,20 @@ def marginal_logs(spark: SparkSession, d: str) -> DataFrame:
     return cols.select("c", "total", F.round(log, 6).alias("log_total"))
 
 
+def _other_draw(c: Corpus) -> DataFrame:
+    """(w, c, cooc): the pairs of another draw of the corpus, looked up."""
+    return cooc.cells_or_zero(c.under(seed=2).pairs.select("w", "c").distinct(), c.cells)
+
+
 @query
 def cooc_lookup_default0(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one draw of the corpus looked up in the matrix of another."""
-    pairs = _pairs(spark, d, replace(HASHED, seed=2)).select("w", "c").distinct()
-    return cooc.cells_or_zero(pairs, _cells(spark, d, HASHED))
+    return _other_draw(_corpus(spark, d, HASHED))
 
 
 @query
 def cooc_sorted_index(spark: SparkSession, d: str) -> DataFrame:
-    words = vocab.build_vocab(_counts(spark, d), P)
-    p = replace(P, positional=False)
-    slots = vocab.context_slots(words, p)
-    contexts = vocab.context_vocab(slots, _pairs(spark, d, p))
-    return cooc.indexed_cells(_cells(spark, d, p), words, contexts).orderBy("w_idx", "c_idx")
+    c = _corpus(spark, d, PLAIN)
+    return cooc.indexed_cells(c.cells, c.vocab, c.contexts).orderBy("w_idx", "c_idx")
 
 
 @query
@@ -254,8 +237,7 @@ def spool_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str, measure: str, p: Params = P) -> DataFrame:
-    cells = _cells(spark, d, p)
-    return assoc.association(cells, cells, p, measure)
+    return _corpus(spark, d, p).scored(measure=measure)
 
 
 def _rounded(scored: DataFrame) -> DataFrame:
@@ -285,9 +267,8 @@ def assoc_nnegpmi(spark: SparkSession, d: str) -> DataFrame:
 @query
 def assoc_unseen(spark: SparkSession, d: str) -> DataFrame:
     """All measures on cells that may be empty: clip, -1 and -1 there."""
-    cells = _cells(spark, d, HASHED)
-    pairs = _pairs(spark, d, replace(HASHED, seed=2)).select("w", "c").distinct()
-    totals = assoc.with_totals(cooc.cells_or_zero(pairs, cells), cells, HASHED)
+    c = _corpus(spark, d, HASHED)
+    totals = assoc.with_totals(_other_draw(c), c.cells, HASHED)
     clipped = replace(HASHED, clip=-0.5)
     return totals.select(
         "w", "c", "cooc",
@@ -316,9 +297,8 @@ def process_leq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sampling(spark: SparkSession, d: str) -> DataFrame:
-    words = vocab.cut_counts(_counts(spark, d), P)
-    size = vocab.corpus_size(_counts(spark, d), P).scalar()
-    return words.withColumn("corpus_size", size)
+    c = _corpus(spark, d)
+    return c.cut.withColumn("corpus_size", F.lit(c.size))
 
 
 @query
@@ -335,37 +315,27 @@ def keep_prob(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def subsampled_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _kept(spark, d, HASHED)
-
-
-def _noise(spark: SparkSession, d: str) -> DataFrame:
-    p = replace(P, positional=False)
-    slots = vocab.context_slots(vocab.cut_counts(_counts(spark, d), p), p)
-    return sampling.noise_table(vocab.context_vocab(slots, _pairs(spark, d, p)), p)
+    return _corpus(spark, d, HASHED).kept
 
 
 @query
 def noise_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return _noise(spark, d)
-
-
-def _draws(spark: SparkSession, d: str) -> DataFrame:
-    events = windows.target_events(_words(spark, d, replace(P, positional=False)))
-    return sampling.drawn(events, _noise(spark, d), ["doc_id", "sent", "rn"], P)
+    return _corpus(spark, d, PLAIN).noise
 
 
 @query
 def noise_draws(spark: SparkSession, d: str) -> DataFrame:
-    return _draws(spark, d).select("doc_id", "sent", "rn", "k", "c")
+    return _corpus(spark, d, PLAIN).draws.select("doc_id", "sent", "rn", "k", "c")
 
 
 @query
 def negative_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _draws(spark, d).groupBy("w", "c").agg(F.count(F.lit(1)).alias("n_draws"))
+    return _corpus(spark, d, PLAIN).draws.groupBy("w", "c").agg(F.count(F.lit(1)).alias("n_draws"))
 
 
 def _spool(spark: SparkSession, d: str) -> DataFrame:
-    return cooc.spooled(_pairs(spark, d, replace(P, positional=False)), _draws(spark, d))
+    c = _corpus(spark, d, PLAIN)
+    return cooc.spooled(c.pairs, c.draws)
 
 
 @query
@@ -396,31 +366,26 @@ def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    words = vocab.cut_counts(_counts(spark, d), P).select("w")
+    words = _corpus(spark, d).cut.select("w")
     return subword.word_ngrams(words, P)
 
 
 @query
 def ngrams_codepoint(spark: SparkSession, d: str) -> DataFrame:
-    words = vocab.cut_counts(_counts(spark, d), P).select("w")
+    words = _corpus(spark, d).cut.select("w")
     return subword.word_ngrams(words, replace(P, ngram_unit="char"))
 
 
 @query
 def fnv_hash(spark: SparkSession, d: str) -> DataFrame:
-    words = vocab.cut_counts(_counts(spark, d), P).select("w")
+    words = _corpus(spark, d).cut.select("w")
     return words.select("w", fnv1_32(F.hex(F.encode("w", "UTF-8"))).alias("h"))
 
 
-def _vocab(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    words = cut_lineage(vocab.build_vocab(_counts(spark, d), P))
-    return words, words.count()
-
-
 @query
 def word_subwords(spark: SparkSession, d: str) -> DataFrame:
-    words, n = _vocab(spark, d)
-    return subword.word_subwords(words, n, P)
+    words = _corpus(spark, d).vocab
+    return subword.word_subwords(words, words.count(), P)
 
 
 def _listed(words: DataFrame) -> DataFrame:
@@ -432,7 +397,7 @@ def _listed(words: DataFrame) -> DataFrame:
 
 @query
 def subword_file(spark: SparkSession, d: str) -> DataFrame:
-    words = vocab.cut_counts(_counts(spark, d), P).where(~F.col("w").contains(" "))
+    words = _corpus(spark, d).cut.where(~F.col("w").contains(" "))
     indexed = words.select("w", F.xxhash64("w").alias("idx"))
     listed = subword.parsed_subword_lines(_listed(words))
     return subword.listed_subwords(indexed, listed).join(indexed.select(F.col("idx").alias("w_idx"), "w"), "w_idx").select("w", "ord", "sw")
@@ -523,64 +488,19 @@ def init_vectors(spark: SparkSession, d: str) -> DataFrame:
 TRAIN = Params(minfreq=20, window=2, subsample=0.0, negative=2, minn=0, dim=16, iterations=2, positional=False, batch=200)
 
 
-def _indexed(spark: SparkSession, d: str, p: Params) -> tuple[DataFrame, DataFrame, int, int]:
-    words = cut_lineage(vocab.build_vocab(_counts(spark, d), p))
-    pairs = _pairs(spark, d, p)
-    contexts = cut_lineage(vocab.context_vocab(vocab.context_slots(words, p), pairs))
-    return words, contexts, words.count(), contexts.count()
-
-
-def _examples(scored: DataFrame, words: DataFrame, contexts: DataFrame, p: Params) -> DataFrame:
-    kept = assoc.processed(scored, p)
-    rows, cols = words.select("w", F.col("idx").alias("w_idx")), contexts.select("c", F.col("idx").alias("c_idx"))
-    return kept.join(rows, "w").join(cols, "c")
-
-
 def _losses(spark: SparkSession, result: train.Trained) -> DataFrame:
     rows = [(i, float(x)) for i, x in enumerate(result.losses)]
     return spark.createDataFrame(rows, "iteration bigint, half_sq_loss double")
 
 
-def trained_em(spark: SparkSession, d: str, p: Params) -> train.Trained:
-    """Vectors from a spool: noise is drawn once, y comes from the cells."""
-    words, contexts, n, m = _indexed(spark, d, p)
-    noise = sampling.noise_table(contexts, p)
-    kept = windows.target_events(_words(spark, d, p))
-    draws = sampling.drawn(kept, noise, ["doc_id", "sent", "rn"], p)
-    pairs = _pairs(spark, d, p)
-    spool = cut_lineage(cooc.spooled(pairs, draws))
-    cells = spool.where(F.col("cooc") > 0).select("w", "c", "cooc")
-    totals = assoc.association(spool, cells, p)
-    lines = cut_lineage(_examples(totals, words, contexts, p).select("w_idx", "c_idx", "y", "sampled"))
-    return train.train(train.spool_examples(lines), n, m, p)
-
-
-def trained_im(spark: SparkSession, d: str, p: Params) -> train.Trained:
-    """Vectors from the corpus: each epoch subsamples and draws noise anew."""
-    words, contexts, n, m = _indexed(spark, d, p)
-    noise = cut_lineage(sampling.noise_table(contexts, p))
-    cells = cut_lineage(_cells(spark, d, p))
-
-    def epoch(it: int) -> DataFrame:
-        q = replace(p, seed=p.seed + 100 * (it + 1))
-        kept = _words(spark, d, q)
-        positive = windows.window_pairs(kept, q).select("w", "c")
-        draws = sampling.drawn(windows.target_events(kept), noise, ["doc_id", "sent", "rn"], q).select("w", "c")
-        both = positive.unionByName(draws).groupBy("w", "c").agg(F.count(F.lit(1)).alias("sampled"))
-        scored = assoc.association(cooc.cells_or_zero(both, cells), cells, p)
-        return train.spool_examples(_examples(scored, words, contexts, p).select("w_idx", "c_idx", "y", "sampled"))
-
-    return train.train(epoch, n, m, p)
-
-
 @query
 def train_im(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, trained_im(spark, d, TRAIN))
+    return _losses(spark, trained_im(_corpus(spark, d, TRAIN)))
 
 
 @query
 def train_em(spark: SparkSession, d: str) -> DataFrame:
-    return _losses(spark, trained_em(spark, d, TRAIN))
+    return _losses(spark, trained_em(_corpus(spark, d, TRAIN)))
 
 
 # Stored runs.
