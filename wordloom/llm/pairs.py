@@ -30,6 +30,8 @@ def ordered_pairs(lines: DataFrame) -> DataFrame:
         F.when(w > c, n).alias("ba"),
         F.when(w == c, n).alias("same"),
     )
+    # True of every row; said here, the planner need not add it to one reading.
+    directed = directed.where(F.col("idx_a").isNotNull() & F.col("idx_b").isNotNull())
     once = directed.groupBy("corpus_id", "run_no", "idx_a", "idx_b").agg(
         F.max("ab").alias("ab"), F.max("ba").alias("ba"), F.max("same").alias("same")
     )
@@ -64,7 +66,9 @@ def pair_association(lines: DataFrame, min_count: int = 1) -> DataFrame:
     pairs = ordered_pairs(lines)
     margin = marginals(pairs)
     total = margin.groupBy("corpus_id").agg(F.sum("t").alias("total"))
-    kept = pairs.where(F.col("n_ab") >= max(1, min_count)).select(
+    # Naming every column keeps both readings of pairs one and the same shuffle.
+    whole = (F.col("n_ba") >= 0) & (F.col("n_self") >= 0)
+    kept = pairs.where((F.col("n_ab") >= max(1, min_count)) & whole).select(
         "corpus_id", "idx_a", "idx_b", F.col("n_ab").alias("n")
     )
     same = lambda x: F.col(x)
