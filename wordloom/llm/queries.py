@@ -76,16 +76,23 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described_clusters(vectors, cluster_members(vectors, 0.75))
 
 
+def _corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a corpus.  Targets need one; asked of all lines at once, it
+    leaves the three readings of the cells one and the same shuffle."""
+    return read_table(spark, sf_dir, "cooc_line").where(F.col("corpus_id").isNotNull())
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = context_scores(read_table(spark, sf_dir, "cooc_line"))
+    scores = context_scores(_corpus_lines(spark, sf_dir))
     targets = frequent_targets(read_table(spark, sf_dir, "word"), read_table(spark, sf_dir, "corpora"))
     weight = F.col("n") / F.col("t") * F.ln(F.col("n_targets") / F.col("df"))
-    found = scores.where((F.col("n") >= 5) & (F.col("t") >= 30) & (weight >= 0.5))
+    # Contexts the model finds informative at all, then the exact bounds.
+    found = scores.where((F.col("score") > 0) & (F.col("n") >= 5) & (F.col("t") >= 30) & (weight >= 0.5))
     return found.join(targets, ["corpus_id", "w_idx"], "left_semi").select("corpus_id", "w_idx", "c_idx")
 
 
 def p5_context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = context_scores(read_table(spark, sf_dir, "cooc_line"))
+    scores = context_scores(_corpus_lines(spark, sf_dir))
     targets = frequent_targets(read_table(spark, sf_dir, "word"), read_table(spark, sf_dir, "corpora"))
     kept = scores.join(targets, ["corpus_id", "w_idx"], "left_semi")
     return kept.select("corpus_id", "w_idx", "c_idx", "n", "t", "df", F.round("score", 6).alias("score"))
