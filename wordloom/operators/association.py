@@ -52,19 +52,23 @@ FILTERS: dict[str, Callable[[Column, float], Column]] = {
 }
 
 
-def with_totals(pairs: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
-    """pairs (w, c, cooc) with w_total, c_total and cds_total of cells.
+def with_given_totals(pairs: DataFrame, rows: DataFrame, cols: DataFrame, p: Params) -> DataFrame:
+    """pairs (w, c, cooc) with w_total, c_total and cds_total of the totals
+    (w, total) and (c, total).
 
     The totals are small beside the cells; where they are small enough at run
     time the joins broadcast them.  The smoothed total is a single number.
     """
-    rows = row_totals(cells).withColumnRenamed("total", "w_total")
-    cols = col_totals(cells)
     total = smoothed_total(cols, p.cds)
-    joined = pairs.join(rows, "w").join(cols.withColumnRenamed("total", "c_total"), "c")
+    joined = pairs.join(rows.withColumnRenamed("total", "w_total"), "w").join(cols.withColumnRenamed("total", "c_total"), "c")
     return joined.withColumn("cds_total", total.scalar())
 
 
+def with_totals(pairs: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
+    """The same with the totals of cells."""
+    return with_given_totals(pairs, row_totals(cells), col_totals(cells), p)
+
+
 def association(pairs: DataFrame, cells: DataFrame, p: Params, measure: str | None = None) -> DataFrame:
     """pairs with y, the association of the named measure."""
     return with_totals(pairs, cells, p).withColumn("y", MEASURES[measure or p.matrix](p))

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import CONTEXT_BREAK
 from wordloom.operators import association as assoc
 from wordloom.operators import cooc, sampling, subword, train, vectors, vocab, windows
 from wordloom.operators.tokenize import tokenize
@@ -24,16 +25,21 @@ from wordloom.sources.formats import BinaryModel, write_model, write_vectors
 class Corpus:
     """The stages of a corpus (doc_id, text) under one set of parameters."""
 
-    def __init__(self, documents: DataFrame, p: Params) -> None:
+    def __init__(self, documents: DataFrame, p: Params, cut: DataFrame | None = None) -> None:
+        """cut is a vocabulary (w, freq) made before; else the corpus is counted."""
         self.documents = documents.select("doc_id", "text")
         self.p = p
+        if cut is not None:
+            if not cut.where(F.col("w") == CONTEXT_BREAK).limit(1).count():
+                raise ValueError(f"the vocabulary lacks the context break {CONTEXT_BREAK}")
+            self.cut = cut_lineage(cut.select("w", "freq"))
 
     def under(self, **changes) -> Corpus:
         """The same corpus under other parameters; the vocabulary is kept where
         no parameter that shapes it changes."""
         other = Corpus(self.documents, replace(self.p, **changes))
         if not changes.keys() & {"minfreq", "maxvocab", "period_is_whitespace"}:
-            other.counts, other.cut = self.counts, self.cut
+            other.cut = self.cut
         return other
 
     @cached_property
@@ -122,12 +128,35 @@ class Corpus:
 def trained_em(c: Corpus, listed: DataFrame | None = None) -> train.Trained:
     """Noise is drawn once and spooled with the cells; every epoch passes the
     same lines in another order."""
-    spool = cooc.spooled(c.pairs, c.draws)
-    lines = cut_lineage(c.examples(c.scored(cut_lineage(spool))))
+    lines = cut_lineage(c.examples(c.scored(cut_lineage(spool_of(c)))))
     rows, n_rows = c.subword_rows(listed)
     return train.train(train.spool_examples(lines), n_rows, c.contexts.count(), c.p, rows)
 
 
+def spool_of(c: Corpus) -> DataFrame:
+    """(w, c, cooc, sampled) of the corpus and its noise."""
+    return cooc.spooled(c.pairs, c.draws)
+
+
+def trained_on_spool(c: Corpus, spool: DataFrame, rows: DataFrame, cols: DataFrame, listed: DataFrame | None = None) -> train.Trained:
+    """Vectors from a spool and totals made before; the corpus is not read.
+
+    A word or context that the totals name and the vocabulary lacks is an
+    error: the files then belong to different corpora."""
+    strange = rows.join(c.cut, "w", "left_anti").limit(1).collect()
+    if strange:
+        raise ValueError(f"the totals name a word that the vocabulary lacks: {strange[0].w!r}")
+    unknown = cols.join(c.slots, "c", "left_anti").limit(1).collect()
+    if unknown:
+        raise ValueError(f"the totals name a context that the vocabulary lacks: {unknown[0].c!r}")
+    seen = cols.withColumnRenamed("total", "freq")
+    c.contexts = cut_lineage(vocab.ranked_contexts(vocab.with_counts(c.slots, seen)))
+    y = assoc.MEASURES[c.p.matrix](c.p)
+    lines = cut_lineage(c.examples(assoc.with_given_totals(spool, rows, cols, c.p).withColumn("y", y)))
+    parts, n_rows = c.subword_rows(listed)
+    return train.train(train.spool_examples(lines), n_rows, c.contexts.count(), c.p, parts)
+
+
 def trained_im(c: Corpus, listed: DataFrame | None = None) -> train.Trained:
     """Every epoch subsamples the corpus and draws noise anew; a pair that the
     stored cells lack counts as empty."""

@@ -138,3 +138,23 @@ def read_model(path: str) -> BinaryModel:
         words = [f.read(struct.unpack("<I", f.read(4))[0]).decode() for _ in range(n)]
         matrix = np.memmap(path, "<f8", "r", f.tell(), (rows, dim)) if rows and dim else np.zeros((rows, dim))
     return BinaryModel(words, matrix, minn, maxn)
+
+
+def merge_vector_files(spark: SparkSession, words: str, contexts: str, out: str) -> int:
+    """Word vectors plus the sums of their contexts' vectors, all as files.
+
+    Contexts are positional where there are more of them than words.  Returns
+    how many words had no context vector.  Files of different dimension are
+    an error.
+    """
+    from wordloom.operators.vectors import merged_contexts, unmerged_words
+
+    w, c = read_vectors(spark, words), read_vectors(spark, contexts).withColumnRenamed("w", "c")
+    sizes = {r[0] for t in (w, c) for r in t.select(F.size("v")).distinct().collect()}
+    if len(sizes) != 1:
+        raise ValueError(f"vectors have different dimensions: {sorted(sizes)}")
+    dim, positional = sizes.pop(), c.count() > w.count()
+    order = spark.read.text(words).select(F.monotonically_increasing_id().alias("idx"), F.split("value", " ")[0].alias("w"))
+    merged = merged_contexts(w, c, dim, positional).join(order, "w")
+    write_vectors(merged, out)
+    return unmerged_words(w, c, positional).count()
