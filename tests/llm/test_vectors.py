@@ -105,7 +105,7 @@ def test_neighbours(spark):
     m = made(40)
     expected = brute_neighbours(m, 3, 0.75)
     got = {}
-    rows = neighbours.nearest_vectors(frame(spark, m), 3, 0.75).collect()
+    rows = neighbours.nearest_vectors(frame(spark, m), 3, 0.75, neighbours.ForestParams(leaf_rows=16)).collect()
     for r in sorted(rows, key=lambda r: (r.idx, -r.cos, r.other)):
         got.setdefault(r.idx, []).append(r.other)
     true = {(i, j) for i, js in expected.items() for j in js}

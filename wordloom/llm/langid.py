@@ -26,6 +26,8 @@ NGRAM = 4
 class LangParams:
     #: Labelled documents on the driver to widen the vocabulary, at most.
     labelled_rows: int = 3_000
+    #: Longer documents are not used for that; together this bounds the driver.
+    labelled_chars: int = 20_000
     #: Weight of a word that training has not seen, and the largest lead in
     #: log probability that one word may give a language over another.
     unseen_weight: float = 0.35
@@ -343,7 +345,7 @@ def fitted_on(documents: DataFrame, samples: DataFrame, labels: DataFrame, p: La
     picked = documents.select("lang", "text")
     if total > p.labelled_rows:
         picked = picked.sample(False, p.labelled_rows / total, 17).limit(p.labelled_rows)
-    named = labels_named(picked.where("text is not null"), labels).where("label_lang is not null")
+    named = labels_named(picked.where(F.length("text") <= p.labelled_chars), labels).where("label_lang is not null")
     return fitted(trusted, [(r.label_lang, r.text) for r in named.select("label_lang", "text").collect()], p)
 
 

@@ -22,13 +22,15 @@ from wordloom.runtime import cut_lineage
 
 @dataclass(frozen=True)
 class ForestParams:
-    trees: int = 6
+    trees: int = 8
     #: Leaves visited by a search, in all trees together.
-    visits: int = 14
+    visits: int = 20
     #: Vectors on the driver to fit the splits of a tree.
-    sample_rows: int = 16_384
-    #: Sampled vectors in a leaf at most.
-    leaf_rows: int = 16
+    sample_rows: int = 32_768
+    #: Vectors wanted in a leaf, and sampled vectors it takes at least; beyond
+    #: leaf_rows / leaf_least * sample_rows vectors the leaves grow with them.
+    leaf_rows: int = 300
+    leaf_least: int = 8
     #: Leaves expected to be larger are worked on in blocks.
     block_rows: int = 4_096
 
@@ -44,6 +46,7 @@ class Forest:
         self.child: list[list[int]] = []
         self.leaf: list[int] = []
         self.size: list[int] = []
+        self.leaf_sample = max(p.leaf_least, round(p.leaf_rows * len(sample) / max(total, 1)))
         self.roots = [self._grow(sample) for _ in range(p.trees)]
         self.normal = np.array(self.normal, np.float32)
         self.offset = np.array(self.offset, np.float32)
@@ -62,7 +65,7 @@ class Forest:
             at = len(self.leaf)
             if parent >= 0:
                 self.child[parent][side] = at
-            cut = self._cut(part) if len(part) > self.p.leaf_rows else None
+            cut = self._cut(part) if len(part) > self.leaf_sample else None
             self.child.append([-1, -1])
             if cut is None:
                 self.normal.append(np.zeros(part.shape[1], np.float32))
