@@ -10,7 +10,7 @@ from wordloom.functions.hashing import hash60, uniform
 from wordloom.functions.text import CONTEXT_BREAK
 from wordloom.operators.ordered import ranked
 from wordloom.params import Params
-from wordloom.runtime import broadcast_if_small
+from wordloom.runtime import BROADCAST_ROWS, broadcast_if_small
 
 
 def subsample_p(freq: Column, corpus_size: Column, t: float) -> Column:
@@ -58,19 +58,22 @@ def drawn(events: DataFrame, noise: DataFrame, keys: list[str], p: Params, seed:
     A draw is a point on the line of cumulated weights.  The line is cut into
     equal sections, about one per context; a draw meets the contexts of its
     section in an equi-join, so the look-up is hashed and, as draws are
-    uniform, evenly spread.
+    uniform, evenly spread.  There are at most twice as many rows as contexts
+    (or 1,024 more), which decides whether they are broadcast.
     """
     bounds = noise.agg(F.max("cum_q").alias("total"), F.count(F.lit(1)).alias("n")).first()
     spark = events.sparkSession
     if not bounds["total"]:
         return spark.createDataFrame([], T.StructType([*events.schema.fields, T.StructField("k", T.LongType()), T.StructField("c", T.StringType())]))
-    total, width = bounds["total"], max(1, -(-bounds["total"] // max(1024, bounds["n"])))
+    sections = max(1024, bounds["n"])
+    total, width = bounds["total"], max(1, -(-bounds["total"] // sections))
     section = lambda x: F.floor(x / F.lit(width)).cast("bigint")
     low = F.col("cum_q") - F.col("q")
     spans = noise.select(
         "c", low.alias("__low"), F.col("cum_q").alias("__high"),
         F.explode(F.sequence(section(low), section(F.col("cum_q") - 1))).alias("__section"),
     )
+    spans = F.broadcast(spans) if bounds["n"] + sections <= BROADCAST_ROWS else spans.hint("merge")
     draws = events.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(p.negative).cast("bigint"))))
     at = hash60(p.seed if seed is None else seed, *keys, "k") % F.lit(total)
     draws = draws.withColumn("__at", at).withColumn("__section", section(F.col("__at")))
