@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,21 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     few = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df.hint("merge")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per session.
+
+    Python functions and broadcast objects name its modules; executors that
+    have no copy on their path load it from the archive sent with the job.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_wordloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="wordloom-package-")) / "wordloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f"{root.name}/{f.relative_to(root).as_posix()}")
+    sc.addPyFile(str(archive))
+    sc._wordloom_shipped = True
