@@ -65,6 +65,48 @@ def test_vocab_order(spark):
     assert [(r.w, r.idx, r.freq) for r in cut] == [(BREAK, 0, 0)]
 
 
+def test_both_ways_to_cut(spark, monkeypatch):
+    counts = spark.createDataFrame([(f"w{i}", 1 + i % 7) for i in range(50)] + [(BREAK, 5)], "w string, freq bigint")
+    p = replace(P, maxvocab=12)
+    few = sorted(vocab.cut_counts(counts, p).collect())
+    monkeypatch.setattr(vocab, "TOP_ROWS", 3)
+    assert sorted(vocab.cut_counts(counts, p).collect()) == few and len(few) == 13
+
+
+def by_state(text, period):
+    """Tokens by walking the characters."""
+    white = set("\t\n\x0b\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+    out, word = [], ""
+    for ch in text:
+        ends = ch in white or (period and ch == ".")
+        if word and not ends:
+            word += ch
+            continue
+        if word:
+            out.append(word)
+            word = ""
+        if ch == "\n" or ch == ".":
+            out.append(BREAK)
+        elif not ends:
+            word = ch
+    return out + [word] * bool(word)
+
+
+@pytest.mark.parametrize("period", [False, True])
+def test_tokens_of_random_texts(spark, period):
+    import random
+
+    r = random.Random(6)
+    pool = list("ab.\n \t\x0b\x0c\r\x85\xa0\u1680\u2003\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\u180e\x1c") + ["é", "😀", "字", "</s>", "'", "\\", "$1"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(40))) for _ in range(400)]
+    p = replace(P, period_is_whitespace=period)
+    got = {i: [] for i in range(len(texts))}
+    for row in tokenize(docs(spark, *texts), p, terminated=False).orderBy("doc_id", "pos").collect():
+        got[row.doc_id].append(row.w)
+    for i, t in enumerate(texts):
+        assert got[i] == by_state(t, period), repr(t)
+
+
 def test_cells_and_totals(spark):
     _, _, pairs = f1(spark)
     cells = cooc.cooc_cells(pairs)

@@ -9,6 +9,10 @@ from wordloom.functions.text import CONTEXT_BREAK
 from wordloom.operators.ordered import ranked
 from wordloom.params import Params
 
+#: Words up to which a cut merges the tasks' own lists in one task; beyond,
+#: words are ranked in range partitions.
+TOP_ROWS = 100_000
+
 
 def word_counts(tokens: DataFrame) -> DataFrame:
     """(w, freq) over all tokens, breaks included."""
@@ -20,8 +24,10 @@ def cut_counts(counts: DataFrame, p: Params) -> DataFrame:
     at most maxvocab of them (most frequent first, ties by the word's bytes),
     and the break in any case, with freq 0 if it did not make it."""
     kept = counts.where(F.col("freq") >= p.minfreq)
-    if p.maxvocab > 0:
+    if 0 < p.maxvocab <= TOP_ROWS:
         kept = kept.orderBy(F.desc("freq"), "w").limit(p.maxvocab)
+    elif p.maxvocab:
+        kept = ranked(kept, [F.desc("freq"), F.asc("w")], "rank").where(F.col("rank") < p.maxvocab).select("w", "freq")
     # The break competes like any word; a row with freq 0 stands by.
     spark = counts.sparkSession
     spare = spark.createDataFrame([(CONTEXT_BREAK, 0)], "w string, freq bigint")
