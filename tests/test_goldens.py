@@ -26,7 +26,7 @@ def words_of(spark, text, p=P, terminated=False):
     return [r.w for r in tokenize(docs(spark, text), p, terminated).orderBy("pos").collect()]
 
 
-TEXT = ".5 foo.bar baz. .\nx y　z...w \r\n\n end. a..b"
+TEXT = ".5 foo.bar baz. .\nx\u00a0y\u3000z...w \r\n\n end. a..b"
 
 
 def test_tokens(spark):
@@ -36,9 +36,9 @@ def test_tokens(spark):
 
 
 def test_white_space_is_not_regex_space(spark):
-    near = "a᠎b​c﻿d\x1ce"
+    near = "a\u180eb\u200bc\ufeffd\x1ce"
     assert words_of(spark, near) == [near]
-    assert words_of(spark, "a\u0085b c d e\x0bf\x0cg") == list("abcdefg")
+    assert words_of(spark, "a\u0085b\u2028c\u202fd\u205fe\x0bf\x0cg") == list("abcdefg")
 
 
 def test_no_tokens(spark):

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values of the binary model.
 MODEL_MAGIC = 0xBEA25956
 MODEL_VERSION = 1
 
