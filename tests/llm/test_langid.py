@@ -47,7 +47,7 @@ def test_mixtures(samples, model):
 
 
 def test_no_words(model):
-    texts = [None, "", " \n\t", "0.1 -0.2 3e5\n1 2 3", "...!?", "<p></p>", "word 0.1 0.2\nother 0.3 0.4", "​"]
+    texts = [None, "", " \n\t", "0.1 -0.2 3e5\n1 2 3", "...!?", "<p></p>", "word 0.1 0.2\nother 0.3 0.4", "\u200b"]
     assert stretches(Scorer(model), texts) == [[] for _ in texts]
 
 

@@ -154,3 +154,48 @@ def test_packed_rows():
     assert (unpacked(packed(m)) == m).all()
     assert (unpacked(packed(m).slice(1)) == m[1:]).all()
     assert unpacked(packed(m[:0])).shape == (0, 64)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """The usable vectors of a test table, and all their cosines."""
+    import os
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    from wordloom.llm import queries
+
+    rows = queries._vectors(spark, d).orderBy("idx").collect()
+    u = np.array([r.unit for r in rows])
+    return d, np.array([r.idx for r in rows]), u @ u.T
+
+
+def test_neighbours_of_trained_vectors(spark, trained):
+    from wordloom.llm import queries
+
+    d, ids, cos = trained
+    np.fill_diagonal(cos, -1)
+    true = set()
+    for i, row in enumerate(cos):
+        for j in np.argsort(-row)[:3]:
+            if row[j] >= 0.75:
+                true.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    got = {(r.idx_a, r.idx_b) for r in queries.p7_found(spark, d).collect()}
+    assert len(got & true) >= 0.99 * len(true) and len(got - true) <= 0.01 * len(got)
+
+
+def test_clusters_of_trained_vectors(spark, trained):
+    from wordloom.llm import queries
+
+    d, ids, cos = trained
+    label = np.arange(len(ids))
+    near = (cos >= 0.75) | np.eye(len(ids), dtype=bool)
+    while True:
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            break
+        label = new
+    true = {(int(ids[i]), int(ids[j])) for i in range(len(ids)) for j in range(i + 1, len(ids)) if label[i] == label[j]}
+    got = {(r.idx_a, r.idx_b) for r in queries.p4_found(spark, d).collect()}
+    assert got <= true and len(got) >= 0.99 * len(true)

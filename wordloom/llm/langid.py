@@ -40,8 +40,8 @@ class LangParams:
     cache_words: int = 300_000
 
 
-MARK = ""
-_INVISIBLE = re.compile("[­؜᠎​-‏‪-‮⁠-⁤﻿]+")
+MARK = "\ue000"
+_INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
 _ENTITY = re.compile(r"&(?:#\w{1,8}|\w{1,30});")
 #: Entries of a count or vector dump: a line that begins with a word and its
@@ -49,7 +49,7 @@ _ENTITY = re.compile(r"&(?:#\w{1,8}|\w{1,30});")
 _NUMBER = r"[-+]?\d+(?:[.,]\d+)*(?:[eE][-+]?\d+)?"
 _DUMPED = re.compile(rf"^[ \t]*[^\s{MARK}]+(?:[ \t]+{_NUMBER})+(?=\s|$)", re.M)
 _WORD = re.compile(f"[^\\W\\d_]+(?:['’][^\\W\\d_]+)?|[.!?;\\n…]+|{MARK}")
-_MARKS = re.compile("[̀-ͯ]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 # Letters without a canonical decomposition.
 _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "æ": "ae", "œ": "oe", "ß": "ss", "ı": "i"})
 
