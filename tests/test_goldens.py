@@ -183,6 +183,11 @@ def test_noise_draws_follow_weights(spark):
     seen = {r.c: r["count"] for r in sampling.drawn(events, noise, ["e"], P).groupBy("c").count().collect()}
     assert sum(seen.values()) == 100_000 and "never" not in seen
     assert seen["a"] / 100_000 == pytest.approx(10**9 / (10**9 + 32_622_777), abs=0.01)
+    own = spark.createDataFrame([(1, "a")], "e bigint, w string")
+    p = replace(P, negative=200, positional=False)
+    assert sampling.drawn(own, noise, ["e"], p).where("c = 'a'").count() > 100
+    p = replace(p, exclude_target=True)
+    assert {r.c for r in sampling.drawn(own, noise, ["e"], p).collect()} <= {"b", "c"}
     empty = sampling.noise_table(contexts.where("freq < 0"), P)
     assert sampling.drawn(events, empty, ["e"], P).count() == 0
 

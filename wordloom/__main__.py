@@ -107,8 +107,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         listed = listed_subwords(spark, args, c.vocab)
         result = (pipeline.trained_em if args.stage == "em" else pipeline.trained_im)(c, listed)
         pipeline.save(c, result, output, args.binary or None, listed)
-    for i, loss in enumerate(result.losses):
-        log.info("iteration %d: mean half squared error %.6f", i, loss)
+    log.debug("losses: %s", result.losses)
 
 
 def main(argv: list[str] | None = None) -> None:

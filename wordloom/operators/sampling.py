@@ -55,6 +55,9 @@ def noise_table(contexts: DataFrame, p: Params) -> DataFrame:
 def drawn(events: DataFrame, noise: DataFrame, keys: list[str], p: Params, seed: int | None = None) -> DataFrame:
     """events with `negative` draws each: columns k (from 1) and c.
 
+    Any context may be drawn, the target's own too, unless exclude_target
+    drops the draws that hit the event's word w.
+
     A draw is a point on the line of cumulated weights.  The line is cut into
     equal sections, about one per context; a draw meets the contexts of its
     section in an equi-join, so the look-up is hashed and, as draws are
@@ -78,4 +81,7 @@ def drawn(events: DataFrame, noise: DataFrame, keys: list[str], p: Params, seed:
     at = hash60(p.seed if seed is None else seed, *keys, "k") % F.lit(total)
     draws = draws.withColumn("__at", at).withColumn("__section", section(F.col("__at")))
     hit = draws.join(spans, "__section").where((F.col("__at") >= F.col("__low")) & (F.col("__at") < F.col("__high")))
+    if p.exclude_target:
+        own = F.regexp_replace("c", "_[^_]*$", "") if p.positional else F.col("c")
+        hit = hit.where(own != F.col("w"))
     return hit.drop("__section", "__at", "__low", "__high")

@@ -8,6 +8,8 @@ after the epoch.  Matrices travel as binary blobs, one per worker.
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from wordloom.functions.hashing import uniform
 from wordloom.params import Params
 
+log = logging.getLogger("wordloom.train")
+
 #: Bytes of parameters that may be broadcast to the workers of an epoch.
 MAX_MODEL_BYTES = 4 << 30
 
@@ -58,6 +62,14 @@ class Subwords:
         return self.rows[first + np.arange(len(owner))], owner, n
 
 
+def _add_rows(m: np.ndarray, rows: np.ndarray, change: np.ndarray) -> None:
+    """m[rows] += change, where rows repeat."""
+    order = np.argsort(rows, kind="stable")
+    held = rows[order]
+    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    m[held[first]] += np.add.reduceat(change[order], first, axis=0)
+
+
 def batch_step(m: np.ndarray, c: np.ndarray, sub: Subwords, w: np.ndarray, k: np.ndarray, y: np.ndarray, rate: float) -> float:
     """One step on examples (w, k, y) in place; returns the sum of losses.
 
@@ -70,9 +82,9 @@ def batch_step(m: np.ndarray, c: np.ndarray, sub: Subwords, w: np.ndarray, k: np
     old = c[k]
     g = np.einsum("ij,ij->i", z, old) - y
     step = (rate * g)[:, None]
-    np.add.at(c, k, -step * z)
+    _add_rows(c, k, -step * z)
     change = -step * old
-    np.add.at(m, rows, change if plain else (change / n[:, None])[owner])
+    _add_rows(m, rows, change if plain else (change / n[:, None])[owner])
     return float(0.5 * (g * g).sum())
 
 
@@ -131,12 +143,15 @@ def train(examples, n_rows: int, n_contexts: int, p: Params, subwords: Subwords
     sub = subwords or Subwords.own_rows(n_words or n_rows)
     losses = []
     for it in range(p.iterations):
+        began = time.time()
         table = examples(it) if callable(examples) else examples
         total = table.count()
         m, c, loss, n = _epoch(table, m, c, sub, p, it, total)
         if n and not np.isfinite(loss):
             raise ArithmeticError(f"loss is no number in iteration {it}; use a smaller alpha or batch")
         losses.append(loss / n if n else 0.0)
+        rate = learning_rate((it + 1) / p.iterations, p.alpha)
+        log.info("iteration %d of %d: %d examples in %.1f s, loss %.6f, next rate %.6f", it + 1, p.iterations, n, time.time() - began, losses[-1], rate)
     return Trained(m, c, losses)
 
 

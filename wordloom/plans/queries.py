@@ -485,7 +485,7 @@ def init_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 # Training.
 
-TRAIN = Params(minfreq=20, window=2, subsample=0.0, negative=2, minn=0, dim=16, iterations=2, positional=False, batch=200)
+TRAIN = Params(minfreq=20, window=2, subsample=0.0, negative=2, minn=0, dim=16, iterations=2, positional=False)
 
 
 def _losses(spark: SparkSession, result: train.Trained) -> DataFrame:
