@@ -196,6 +196,23 @@ WITH cell AS ({CELLS}),
   WHERE (corpus_id, w_idx) IN (SELECT (corpus_id, idx) FROM ({FREQUENT})))
 """
 
+USABLE = """
+SELECT idx, m_vec FROM (
+  SELECT idx, m_vec, row_number() OVER (PARTITION BY idx ORDER BY trained_at DESC, iteration DESC, w DESC, m_vec DESC) AS place
+  FROM vectors WHERE idx IS NOT NULL AND len(m_vec) = 64
+   AND list_bool_and(list_transform(m_vec, lambda x: x IS NOT NULL AND isfinite(x)))
+   AND list_bool_or(list_transform(m_vec, lambda x: x <> 0)))
+WHERE place = 1
+"""
+
+# Both searches are approximate by design; these are the exact results, which
+# they give on tables of the size that the SQL is run on.
+SIMILAR = f"""
+v AS ({USABLE}),
+near AS (SELECT a, b, cos FROM (SELECT x.idx AS a, y.idx AS b, list_cosine_similarity(x.m_vec, y.m_vec) AS cos FROM v x JOIN v y ON x.idx <> y.idx)
+ WHERE cos >= 0.75)
+"""
+
 ORACLE = {
     "p1_found": f"""
 WITH sums AS (SELECT w, sum(freq) AS freq FROM ({COUNTING}) GROUP BY w)
@@ -237,6 +254,16 @@ WITH r AS ({COUNTING}),
 SELECT w, freq, n_slices, CASE WHEN n_slices < 3 THEN 'rare'
   WHEN n_slices * 5 >= 2 * (SELECT count(DISTINCT slice_id) FROM r) THEN 'common' END AS mark
 FROM s
+""",
+    "p4_found": f"""
+WITH RECURSIVE {SIMILAR},
+ reach AS (SELECT idx AS root, idx FROM v UNION SELECT r.root, n.b FROM reach r JOIN near n ON n.a = r.idx)
+SELECT root AS idx_a, idx AS idx_b FROM reach WHERE root < idx
+""",
+    "p7_found": f"""
+WITH {SIMILAR},
+ best AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS place FROM near) WHERE place <= 3)
+SELECT DISTINCT least(a, b) AS idx_a, greatest(a, b) AS idx_b FROM best
 """,
     "p5_found": f"""{SCORED}
 SELECT corpus_id, w_idx, c_idx FROM joined
