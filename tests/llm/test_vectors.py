@@ -61,6 +61,23 @@ def test_blocks_and_cells_change_nothing(spark):
         assert {r.idx: r.cluster for r in got.collect()} == label
 
 
+@pytest.mark.parametrize("size", [800, 6400])
+def test_loose_chains_and_couples(spark, size):
+    """Chains of 8 and couples just above the bound, in many cells and blocks."""
+    rng = np.random.default_rng(size)
+    m = rng.normal(size=(size, 64))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    follows = np.arange(size) % 8 > 0
+    follows[size // 2 :] = np.arange(size - size // 2) % 2 > 0
+    for i in np.flatnonzero(follows):
+        side = m[i] - (m[i] @ m[i - 1]) * m[i - 1]
+        m[i] = 0.77 * m[i - 1] + np.sqrt(1 - 0.77**2) * side / np.linalg.norm(side)
+    label = np.maximum.accumulate(np.where(follows, 0, np.arange(size)))
+    assert (brute_clusters(m, 0.75) == label).all()
+    got = clusters.cluster_members(frame(spark, m), 0.75, clusters.CellParams(cell_rows=20, exact_rows=3_000, exact_cosines=100_000))
+    assert {r.idx: r.cluster for r in got.collect()} == dict(enumerate(label.tolist()))
+
+
 def test_typical_members(spark):
     m = made()
     vectors = frame(spark, m).withColumn("w", F.concat(F.lit("w"), F.col("idx").cast("string")))

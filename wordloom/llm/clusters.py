@@ -6,11 +6,18 @@ vectors are reduced by principal components, space is divided into the cells
 of a bounded number of pivots, and each cell also takes the points of its
 overlapping margin.  Cells are clustered on their own with exact cosines,
 and local clusters are merged through the dense points they share.
+
+Cells settle most links but not all: in this many dimensions no margin short
+of nearly all cells is sure to.  So every pair of points that the cells left in
+different clusters is then compared, a broadcast block against all others,
+and the result is exact at a cost that grows with the square of the points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +27,7 @@ from pyspark.sql.window import Window
 
 from wordloom.llm.components import components
 from wordloom.llm.vectors import DIM, bounded_sample, by_group, copies_collapsed, matrix, packed, unpacked
+from wordloom.runtime import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -36,6 +44,10 @@ class CellParams:
     margin: float = 0.06
     #: Cells expected to be larger are worked on in pairs of blocks.
     block_rows: int = 2_048
+    #: Points of a broadcast block of the exact comparison, and the most
+    #: cosines a task holds at once.
+    exact_rows: int = 32_768
+    exact_cosines: int = 4_194_304
 
 
 class Cells:
@@ -131,18 +143,74 @@ def similarity_links(reps: DataFrame, min_cos: float, p: CellParams) -> DataFram
     return by_group(reps.mapInArrow(place, schema), ["cell", "x", "y"], cluster, "a bigint, b bigint")
 
 
+def _joined(links: Iterator[tuple[int, int]], parent: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """The links that join two trees of parent, which they change."""
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def links_between(parted: DataFrame, min_cos: float, p: CellParams) -> DataFrame:
+    """Links (a, b) of parts that hold two similar points, of all pairs of
+    parted (idx, part, unit), which is read once for each block of it."""
+    context = parted.sparkSession.sparkContext
+    blocks = max(1, -(-parted.count() // p.exact_rows))
+    numbered = parted.select("part", "unit", F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("block"))
+
+    def compare(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            theirs, block = shared.value
+            step = max(1, p.exact_cosines // max(1, len(block)))
+            parent: dict[int, int] = {}
+            for batch in batches:
+                own, unit = batch.column(0).to_numpy(), matrix(batch.column(1)).astype(np.float32)
+                for i in range(0, len(own), step):
+                    i, j = np.nonzero((unit[i : i + step] @ block.T) >= np.float32(min_cos)) + np.array([[i], [0]])
+                    apart = own[i] != theirs[j]
+                    pairs = np.unique(np.stack([own[i[apart]], theirs[j[apart]]], 1), axis=0)
+                    new = list(_joined(pairs.tolist(), parent))
+                    if new:
+                        a, b = zip(*new)
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return run
+
+    found = []
+    for k in range(blocks):
+        held = numbered.where(F.col("block") == k).select("part", "unit").toArrow()
+        shared = context.broadcast((held.column("part").to_numpy(), matrix(held.column("unit")).astype(np.float32)))
+        rows = numbered.where(F.col("block") <= k).select("part", "unit")
+        found.append(cut_lineage(rows.mapInArrow(compare(shared), "a bigint, b bigint")))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
 def cluster_members(vectors: DataFrame, min_cos: float, p: CellParams = CellParams()) -> DataFrame:
     """(idx, cluster) of every row of vectors (idx, unit); the cluster is named
     by its smallest idx, and a vector without similar ones is its own.
 
     Two vectors are neighbours if their cosine is at least min_cos.  Exact
-    copies are one point.  Pairs farther apart than the margin covers may be
-    missed; a cluster splits only if all chains between its parts are missed
-    (README gives the measured recall).  No vectors give no rows.
+    copies are one point.  All pairs are compared, those that share no cell
+    by links_between, so no link is missed.  No vectors give no rows.
     """
     reps, held = copies_collapsed(vectors)
-    roots = components(similarity_links(reps, min_cos, p)).withColumnRenamed("id", "rep")
-    return held.join(roots, "rep", "left").select("idx", F.coalesce("root", "rep").alias("cluster"))
+    parts = components(similarity_links(reps, min_cos, p)).withColumnRenamed("id", "idx")
+    parted = reps.join(parts, "idx", "left").select(
+        "idx", F.coalesce("root", "idx").alias("part"), F.col("unit").cast("array<float>").alias("unit")
+    )
+    parted = cut_lineage(parted.repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism, "idx"))
+    whole = components(links_between(parted, min_cos, p)).withColumnRenamed("id", "part")
+    roots = parted.select(F.col("idx").alias("rep"), "part").join(whole, "part", "left")
+    roots = roots.select("rep", F.coalesce("root", "part").alias("cluster"))
+    return held.join(roots, "rep").select("idx", "cluster")
 
 
 def cluster_pairs(members: DataFrame) -> DataFrame:
