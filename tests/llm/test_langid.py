@@ -57,6 +57,15 @@ def test_counts_and_marks(model):
     assert tokens("l'eau d’or") == ["l'eau", "d’or"]
 
 
+@pytest.mark.parametrize("end", [" <b class=x", " <!-- open", " &#xE000;", " &lt;i", " <", " &"])
+def test_documents_of_a_batch_do_not_touch(samples, model, end):
+    texts = [t + end for _, t in held_out(samples)[:4]]
+    texts = [texts[0], "b > c --> " + texts[1], None, "", texts[2], "> --> " + texts[3]]
+    scorer = Scorer(model)
+    found = lambda ts: [[(s.lang, s.words) for s in x] for x in stretches(scorer, ts)]
+    assert found(texts) == [found([t])[0] for t in texts]
+
+
 def test_very_long_text(model):
     (found,) = stretches(Scorer(model), ["and the river of the garden " * 30_000])
     assert [(s.lang, s.words) for s in found] == [("en", 180_000)]

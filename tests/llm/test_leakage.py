@@ -90,6 +90,18 @@ def test_canonical():
     assert canonical("<b>Zażółć</b>&amp;gęślą_jaźń ﬁn\u00adale") == " Zazolc gesla jazn finale"
 
 
+OPEN_ENDS = [" <b class=x", " <!-- open", " &#xE000;", " &#57344; &#xe000;", " &lt;i", " &lt;!-- open", " <", " &", " &#xE000"]
+
+
+@pytest.mark.parametrize("end", OPEN_ENDS)
+def test_documents_of_a_batch_do_not_touch(end):
+    block = ItemBlock(sorted(ITEMS.items()))
+    texts = [ITEMS[1] + end, "b > c --> " + ITEMS[2], None, end + ITEMS[3] + end, "> --> " + ITEMS[4]]
+    alone = [row for k, t in enumerate(texts) for row in leaks_in(block, [k], [t])]
+    assert sorted(leaks_in(block, list(range(5)), texts)) == sorted(alone)
+    assert {row[:2] for row in alone} == {(0, 1), (1, 2), (3, 3), (4, 4)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame(
         [(1, placed(ITEMS[1]), "x"), (2, placed(ITEMS[2]), "x"), (3, None, "x"), (4, placed(ITEMS[1]), None), (None, ITEMS[1], "x"), (5, "", "x")], "doc_id bigint, text string, item_id string"

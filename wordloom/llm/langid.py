@@ -42,7 +42,8 @@ class LangParams:
 
 MARK = "\ue000"
 _INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+# A tag does not reach over the mark into the next document.
+_TAG = re.compile(f"</?[A-Za-z][^<>{MARK}]{{0,300}}>")
 _ENTITY = re.compile(r"&(?:#\w{1,8}|\w{1,30});")
 #: Entries of a count or vector dump: a line that begins with a word and its
 #: numbers.

@@ -38,7 +38,8 @@ SLACK = 1
 
 MARK = "\ue000"
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.{0,2000}?-->", re.S)
+# Neither markup nor an entity reaches over the mark into the next document.
+_TAG = re.compile(f"</?[A-Za-z][^<>{MARK}]{{0,300}}>|<!--[^{MARK}]{{0,2000}}?-->")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _MARKS = re.compile("[\u0300-\u036f]+")
 _BETWEEN = re.compile(f"[^\\w{MARK}]+|_+")
@@ -57,7 +58,7 @@ def canonical(text: str) -> str:
     """Words of the text without case marks lost: one space between words."""
     text = _INVISIBLE.sub("", text)
     if "&" in text:
-        text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
+        text = _ENTITY.sub(lambda m: html.unescape(m[0]).replace(MARK, " "), text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
