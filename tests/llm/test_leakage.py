@@ -90,6 +90,33 @@ def test_canonical():
     assert canonical("<b>Zażółć</b>&amp;gęślą_jaźń ﬁn\u00adale") == " Zazolc gesla jazn finale"
 
 
+@pytest.mark.parametrize("times", [1, 40, 200])
+def test_second_piece_after_many_copies_of_the_first(times):
+    item = [f"w{k}x" for k in range(80)]
+    gap = " ".join(f"other{k}" for k in range(30))
+    text = f" {gap} ".join([" ".join(item[:25])] * times + [" ".join(item[39:60])])
+    ((_, _, share, pieces, _),) = leaks_in(ItemBlock([(1, " ".join(item))]), [7], [text])
+    assert (share, pieces) == (46 / 80, 2)
+
+
+def test_cover_is_that_of_all_pieces():
+    r = random.Random(8)
+    for _ in range(300):
+        pieces = []
+        for _ in range(r.randint(1, 90)):
+            a, p, n = r.randrange(40), r.randrange(300), r.randint(3, 12)
+            pieces.append((a, a + n, p, p + n, n))
+        two = [
+            y[1] - x[0] - max(0, y[0] - x[1])
+            for x in pieces for y in pieces if y[0] > x[0] and y[1] > x[1] and y[2] >= x[3] - leakage.WINDOW
+        ]
+        words, picked = leakage._covered(pieces)
+        assert words == max([c[1] - c[0] for c in pieces] + two)
+        x, y = picked[0], picked[-1]
+        assert set(picked) <= set(pieces) and y[1] - x[0] - max(0, y[0] - x[1]) == words
+        assert len(picked) == 1 or y[2] >= x[3] - leakage.WINDOW
+
+
 OPEN_ENDS = [" <b class=x", " <!-- open", " &#xE000;", " &#57344; &#xe000;", " &lt;i", " &lt;!-- open", " <", " &", " &#xE000"]
 
 

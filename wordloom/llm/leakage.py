@@ -141,8 +141,10 @@ def _pieces(hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]
     (item begin, item end, document begin, document end, windows).
 
     A hit joins the chain whose end it follows most closely in both texts.
+    Chains that no later hit can reach are set aside, all of them.
     """
     chains: list[list[int]] = []
+    done: list[list[int]] = []
     for d, i in sorted((d, i) for i, d in hits):
         best, gap = None, None
         for c in reversed(chains):
@@ -157,26 +159,40 @@ def _pieces(hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]
             best[1], best[3] = i, d
             best[4] += 1
         if len(chains) > 64:
-            chains.sort(key=lambda c: (c[3] < d - STEP - WINDOW, -c[4]))
-            live = [c for c in chains if c[3] >= d - STEP - WINDOW]
-            done = sorted((c for c in chains if c[3] < d - STEP - WINDOW), key=lambda c: -c[4])
-            chains = done[:16] + live
-    return [(a, b + WINDOW, p, q + WINDOW, n) for a, b, p, q, n in chains if n >= 2 or b + WINDOW - a > WINDOW]
+            done += [c for c in chains if c[3] < d - STEP - WINDOW]
+            chains = [c for c in chains if c[3] >= d - STEP - WINDOW]
+    return [(a, b + WINDOW, p, q + WINDOW, n) for a, b, p, q, n in done + chains if n >= 2 or b + WINDOW - a > WINDOW]
 
 
 def _covered(pieces: list[tuple[int, int, int, int, int]]) -> tuple[int, list]:
-    """Most item words in one piece, or in two that follow each other."""
-    best: tuple[int, list] = (0, [])
-    pieces = sorted(pieces, key=lambda c: c[0] - c[1])[:40]
-    for x in pieces:
-        if x[1] - x[0] > best[0]:
-            best = (x[1] - x[0], [x])
-        for y in pieces:
-            if y[0] > x[0] and y[1] > x[1] and y[2] >= x[3] - WINDOW:
+    """Most item words in one piece, or in two that follow each other.
+
+    Pieces with one interval of the item are alike but for their place: a
+    first piece that ends earliest and a second that begins latest follow
+    each other if any two of theirs do.
+    """
+    held: dict[tuple[int, int], list] = defaultdict(list)
+    for c in sorted(pieces, key=lambda c: c[0] - c[1]):
+        held[c[:2]].append(c)
+    first = {k: min(cs, key=lambda c: c[3]) for k, cs in held.items()}
+    last = {k: max(c[2] for c in cs) for k, cs in held.items()}
+    best, pick = 0, None
+    for x in held:  # longest first, so what follows covers no more
+        if x[1] - x[0] > best:
+            best, pick = x[1] - x[0], (x, None)
+        for y in held:
+            if x[1] - x[0] + y[1] - y[0] <= best:
+                break
+            if y[0] > x[0] and y[1] > x[1] and last[y] >= first[x][3] - WINDOW:
                 words = y[1] - x[0] - max(0, y[0] - x[1])
-                if words > best[0]:
-                    best = (words, [x, y])
-    return best
+                if words > best:
+                    best, pick = words, (x, y)
+    if pick is None:
+        return 0, []
+    x, y = pick
+    if y is None:
+        return best, held[x][:1]
+    return best, [first[x], next(c for c in held[y] if c[2] >= first[x][3] - WINDOW)]
 
 
 def _slots(block: ItemBlock, item: int, codes: np.ndarray, words: list[str], pieces: list) -> tuple[int, int]:
