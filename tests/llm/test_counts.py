@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -51,6 +52,14 @@ def test_frequent(spark, slice_dir):
     assert {r.w for r in queries.p1_found(spark, slice_dir).collect()} == {w for w, f in sums.items() if f * 1000 >= total}
 
 
+def test_bound_of_p5_needs_no_score(spark, sf_dir):
+    plan = queries.p5_found(spark, sf_dir)._jdf.queryExecution()
+    assert "LOG2" not in plan.optimizedPlan().toString().upper()
+    # All readings of the lines ask for the same columns, so they are one.
+    read = set(re.findall(r"ReadSchema: (struct<.*c_idx.*>)", spark._jvm.PythonSQLUtils.explainString(plan, "formatted")))
+    assert len(read) == 1
+
+
 def test_frequent_ties_and_nulls(spark):
     df = spark.createDataFrame([("b", 1), ("a", 1), ("é", 1), ("Z", 1), (None, 9), ("c", None), ("", 1)], "w string, n bigint")
     assert [r.w for r in frequent.most_frequent(df, "w", "n", 3).collect()] == ["", "Z", "a"]

@@ -30,10 +30,13 @@ def context_scores(lines: DataFrame, length_weight: float = 1.0) -> DataFrame:
     where the joins shuffle.
     """
     cells = spool_cells(lines)
+    # Counted on n and t (always above 0), so that every reading of the cells
+    # asks for the same columns and they share one scan and shuffle, also where
+    # the score is not wanted.
     target = cells.groupBy("corpus_id", "w_idx").agg(F.sum("n").alias("t"))
-    context = cells.groupBy("corpus_id", "c_idx").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("f"))
+    context = cells.groupBy("corpus_id", "c_idx").agg(F.count(F.when(F.col("n") > 0, 1)).alias("df"), F.sum("n").alias("f"))
     corpus = target.groupBy("corpus_id").agg(
-        F.count(F.lit(1)).alias("n_targets"), F.avg(F.col("t").cast("double")).alias("mean_t")
+        F.count(F.when(F.col("t") > 0, 1)).alias("n_targets"), F.avg(F.col("t").cast("double")).alias("mean_t")
     )
     target = target.select(F.col("corpus_id").alias("corpus_w"), F.col("w_idx").alias("target"), "t")
     context = context.select(F.col("corpus_id").alias("corpus_c"), F.col("c_idx").alias("context"), "df", "f")
