@@ -117,6 +117,16 @@ def test_cover_is_that_of_all_pieces():
         assert len(picked) == 1 or y[2] >= x[3] - leakage.WINDOW
 
 
+def test_new_name_that_another_item_has():
+    story = "yesterday the keeper told {0} that {1} had left the old mill and {0} went to ask {1} about the long road while {0} and {1} slept"
+    items = {1: story.format("Anna", "Bruno"), 2: "we know that in the town both Carla and Denis have read all of the many books on this shelf"}
+    asked = story.format("Carla", "Denis")
+    own = list(leaks_in(ItemBlock([(1, items[1])]), [7], [asked]))
+    both = [row for row in leaks_in(ItemBlock(sorted(items.items())), [7], [asked]) if row[1] == 1]
+    assert own == both and own[0][2:] == (1.0, 1, 6)
+    assert found(items[1], items) == {(7, 1)} and found(items[2], items) == {(7, 2)}
+
+
 OPEN_ENDS = [" <b class=x", " <!-- open", " &#xE000;", " &#57344; &#xe000;", " &lt;i", " &lt;!-- open", " <", " &", " &#xE000"]
 
 

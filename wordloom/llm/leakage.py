@@ -121,6 +121,12 @@ class ItemBlock:
             codes[after[np.isin(codes[after], self.units)]] = UNIT
         return codes
 
+    def renamed(self, codes: np.ndarray, cased: list[str]) -> np.ndarray:
+        """The codes with every capitalised word that an item has as a NAME."""
+        out = codes.copy()
+        out[np.fromiter(map(str.istitle, cased), bool, len(cased)) & (codes >= _FIRST_WORD)] = NAME
+        return out
+
     def windows(self, codes: np.ndarray) -> np.ndarray:
         """A number for each window of known words, -1 for the others."""
         n = len(codes) - WINDOW + 1
@@ -232,31 +238,38 @@ def leaks_in(block: ItemBlock, ids: list[int], texts: list[str | None]) -> Itera
     folded = plain.casefold().split()
     cased = plain.split() if block.has_names else None
     codes = block.encode(folded, cased)
-    found = block.windows(codes)
-    at = np.searchsorted(block.keys, found)
-    at[at == len(block.keys)] = 0
-    hit = np.flatnonzero((found >= 0) & (block.keys[at] == found)) if len(found) else np.zeros(0, int)
-    if not len(hit):
-        return
+    codings = [codes]
+    if cased is not None:
+        # A new name may be a word of some other item of the block.
+        codings.append(block.renamed(codes, cased))
     ends = np.array([k for k, w in enumerate(folded) if w == MARK] + [len(folded)])
-    doc = np.searchsorted(ends, hit)
     begin = np.r_[0, ends + 1]
-    pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for h, d in zip(hit.tolist(), doc.tolist()):
-        for item, place in block.places[at[h]]:
-            pairs[d, item].append((place, h))
+    # Hits (item place, document place), and whether only as names.
+    pairs: dict[tuple[int, int], dict[tuple[int, int], bool]] = defaultdict(dict)
+    for k, coding in enumerate(codings):
+        found = block.windows(coding)
+        at = np.searchsorted(block.keys, found)
+        at[at == len(block.keys)] = 0
+        hit = np.flatnonzero((found >= 0) & (block.keys[at] == found)) if len(found) else np.zeros(0, int)
+        for h, d in zip(hit.tolist(), np.searchsorted(ends, hit).tolist()):
+            for item, place in block.places[at[h]]:
+                pairs[d, item].setdefault((place, h), k > 0)
     for (d, item), hits in pairs.items():
         size = len(block.words[item])
         need = CARRIED * size - SLACK
         if len({i for i, _ in hits}) < need / 8:
             continue
-        words, pieces = _covered(_pieces(hits))
+        words, pieces = _covered(_pieces(list(hits)))
         if words < need:
             continue
         lo, hi = begin[d], ends[d]
         local = [(a, b, p - lo, q - lo, n) for a, b, p, q, n in pieces]
         matched = len({i + k for i, _ in hits for k in range(WINDOW)} & {k for a, b, *_ in pieces for k in range(a, b)})
-        changed, wrong = _slots(block, item, codes[lo:hi], folded[lo:hi], local)
+        own = codes[lo:hi]
+        if renamed := [h - lo + k for (i, h), new in hits.items() if new for k in range(WINDOW) if block.template[item][i + k] == NAME]:
+            own = own.copy()
+            own[renamed] = NAME
+        changed, wrong = _slots(block, item, own, folded[lo:hi], local)
         if words - wrong < need or 2 * matched < words:
             continue
         yield ids[kept[d]], item, words / size, len(pieces), changed
