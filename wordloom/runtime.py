@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,14 +22,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster in spark.checkpoint.dir.
 
-    Only where the cluster names none (tests on one machine) is a local
-    folder set.
+    Only a session on one machine (master local) that names none gets a folder
+    of its own; on a cluster, where executors do not share it, that is an error.
     """
     sc = spark.sparkContext
-    wanted = spark.conf.get("spark.checkpoint.dir", None)
     have = sc.getCheckpointDir()
     if have is None:
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
         if wanted is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             wanted = tempfile.mkdtemp(prefix="wordloom-checkpoint-")
         sc.setCheckpointDir(wanted)
         have = sc.getCheckpointDir()
@@ -36,13 +39,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and continue from there.
+    """df written as a table in the checkpoint folder, and read from there.
 
-    Used for results that are read more than once or that end an iteration;
-    a lost executor then costs a re-read, not a recomputation.
+    Used for results that are read more than once or that end an iteration; a
+    lost executor then costs a re-read, not a recomputation.  A written table
+    is compressed, gives readers only the columns they ask for and tells the
+    planner its size.  See forget().
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that cut_lineage() wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a table that may be broadcast (words or contexts: some 100 bytes each).
