@@ -82,8 +82,72 @@ def test_changed_numbers_are_slots():
     rows = list(leaks_in(ItemBlock(list(item.items())), [7], [placed(again)]))
     assert [(d, i) for d, i, *_ in rows] == [(7, 1)] and rows[0][4] >= 3
     other = again.replace("the 300", "the 555")
+    # One number of the item has two in this text: neither of them counts.
     (row,) = leaks_in(ItemBlock(list(item.items())), [7], [placed(other)])
+    assert row[2:] == (29 / 31, 1, 3)
+
+
+STORY = "yesterday the keeper told {0} that {1} had left the old mill and {0} went to ask {1} and {2} about the long road while {0} and {2} slept"
+
+
+def test_contradicting_names_do_not_count():
+    item = [(1, STORY.format("Anna", "Boris", "Clara"))]
+    (renamed,) = leaks_in(ItemBlock(item), [7], [STORY.format("Xenia", "Yorick", "Zora")])
+    assert renamed[2:] == (1.0, 1, 7)
+    (merged,) = leaks_in(ItemBlock(item), [7], [STORY.format("Gustav", "Gustav", "Gustav")])
+    assert merged[2] == pytest.approx(22 / 29) and merged[4] == 0
+
+
+def test_name_dense_question():
+    item = [(1, "so Anna gave Boris pears, Boris gave Clara plums, Clara and Anna ate with Boris what Clara and Anna had")]
+    (row,) = leaks_in(ItemBlock(item), [7], ["so Xenia gave Yorick pears, Yorick gave Zora plums, Zora and Xenia ate with Yorick what Zora and Xenia had"])
+    assert row[2] == 1.0 and row[4] == 9
+
+
+def test_slots_depend_on_no_other_item():
+    item = (1, STORY.format("Anna", "Boris", "Clara"))
+    text = "The end. " + STORY.format("Carla", "Denis", "Emma") + " The End"
+    alone = list(leaks_in(ItemBlock([item]), [7], [text]))
+    others = [(2, "we know that Carla and Denis have read all of the many books with Emma"), (3, "the end of it all"), *((k, ITEMS[k - 10]) for k in range(11, 19))]
+    assert alone and [r for r in leaks_in(ItemBlock([item, *others]), [7], [text]) if r[1] == 1] == alone
+
+
+def test_numbers_alone_are_no_seed():
+    import time
+
+    numbers = [str(7 * k % 1000) for k in range(120)]
+    block = ItemBlock([(1, "please add up " + " ".join(numbers) + " and tell")])
+    began = time.time()
+    assert not list(leaks_in(block, [7], [" ".join(str(k % 977) for k in range(4_000))]))
+    assert time.time() - began < 1
+    (row,) = leaks_in(block, [7], [placed("please add up " + " ".join(numbers) + " and tell")])
     assert row[2] == 1.0
+    (row,) = leaks_in(block, [7], [placed("please add up " + " ".join(str(5000 + int(x)) for x in numbers))])
+    assert row[2] > 0.95 and row[4] == 120
+
+
+def test_short_items():
+    block = ItemBlock([(1, "zebra"), (2, "mi zebra"), (3, "mi zebra vum")])
+    hits = lambda t: {r[1] for r in leaks_in(block, [7], [t])}
+    assert hits("a zebra") == {1} and hits("mi zebra") == {1, 2} and hits("so mi zebra vum it") == {1, 2, 3} and hits("mi vum") == set()
+
+
+def test_many_repeats_are_fast():
+    import time
+
+    item = [f"w{k}x" for k in range(80)]
+    text = " ".join([" ".join(item[:17])] * 4_000 + [" ".join(item[40:64])])
+    began = time.time()
+    ((_, _, share, pieces, _),) = leaks_in(ItemBlock([(1, " ".join(item))]), [7], [text])
+    assert (share, pieces) == (41 / 80, 2) and time.time() - began < 5
+
+
+def test_batches_change_nothing():
+    r = random.Random(2)
+    texts = [r.choice(OPEN_ENDS) + (placed(ITEMS[1 + k % 8]) if k % 3 else text_of(50, r)) + r.choice(OPEN_ENDS) for k in range(120)]
+    block = ItemBlock(sorted(ITEMS.items()))
+    together = sorted(leaks_in(block, list(range(120)), texts))
+    assert together == sorted(row for k, t in enumerate(texts) for row in leaks_in(block, [k], [t])) and len(together) >= 80
 
 
 def test_canonical():
