@@ -1,7 +1,9 @@
 """Clusters of mutually similar vectors.
 
-Density clustering of the unit vectors: a point is dense when another lies
-within the radius, and a cluster is what chains of such points reach.  The
+Density clustering of the unit vectors: a point is dense (a core point) when
+min_points vectors, itself included, lie within the radius, and a cluster is
+what chains of such points reach.  With two, the default, every point with a
+neighbour is one.  The
 vectors are reduced by principal components, space is divided into the cells
 of a bounded number of pivots, and each cell also takes the points of its
 overlapping margin.  Cells are clustered on their own with exact cosines,
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,66 +159,139 @@ def _joined(links: Iterator[tuple[int, int]], parent: dict[int, int]) -> Iterato
             yield a, b
 
 
+def _blocks_against(rows: DataFrame, held: DataFrame, work, schema: str, p: CellParams, once: bool = False) -> DataFrame:
+    """work(block, batches) of a broadcast block of held against all rows, for
+    each block; blocks have about exact_rows rows.  With `once`, rows and held
+    are one table and a pair of rows is met in one order only, the table being
+    read up to the block's own number."""
+    context = rows.sparkSession.sparkContext
+    blocks = max(1, -(-held.count() // p.exact_rows))
+    number = F.pmod(F.xxhash64("idx"), F.lit(blocks))
+    found = None
+    for k in range(blocks):
+        block = held.where(number == k).toArrow()
+        shared = context.broadcast(block)
+        part = rows.where(number <= k) if once else rows
+        run = lambda batches, shared=shared: work(shared.value, batches)
+        out = cut_lineage(part.mapInArrow(run, schema))
+        found = out if found is None else found.unionByName(out)
+        shared.destroy()
+    return found
+
+
 def links_between(parted: DataFrame, min_cos: float, p: CellParams) -> DataFrame:
     """Links (a, b) of parts that hold two similar points, of all pairs of
     parted (idx, part, unit), which is read once for each block of it."""
-    context = parted.sparkSession.sparkContext
-    blocks = max(1, -(-parted.count() // p.exact_rows))
-    numbered = parted.select("part", "unit", F.pmod(F.xxhash64("idx"), F.lit(blocks)).alias("block"))
-
-    def compare(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            theirs, block = shared.value
-            step = max(1, p.exact_cosines // max(1, len(block)))
-            parent: dict[int, int] = {}
-            for batch in batches:
-                own, unit = batch.column(0).to_numpy(), matrix(batch.column(1)).astype(np.float32)
-                for i in range(0, len(own), step):
-                    i, j = np.nonzero((unit[i : i + step] @ block.T) >= np.float32(min_cos)) + np.array([[i], [0]])
-                    apart = own[i] != theirs[j]
-                    pairs = np.unique(np.stack([own[i[apart]], theirs[j[apart]]], 1), axis=0)
-                    new = list(_joined(pairs.tolist(), parent))
-                    if new:
-                        a, b = zip(*new)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        return run
-
-    found = []
-    for k in range(blocks):
-        held = numbered.where(F.col("block") == k).select("part", "unit").toArrow()
-        shared = context.broadcast((held.column("part").to_numpy(), matrix(held.column("unit")).astype(np.float32)))
-        rows = numbered.where(F.col("block") <= k).select("part", "unit")
-        found.append(cut_lineage(rows.mapInArrow(compare(shared), "a bigint, b bigint")))
-        shared.destroy()
-    return reduce(DataFrame.unionByName, found)
 
+    def compare(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theirs, other = block.column("part").to_numpy(), matrix(block.column("unit"))
+        step = max(1, p.exact_cosines // max(1, len(other)))
+        parent: dict[int, int] = {}
+        for batch in batches:
+            own, unit = batch.column(1).to_numpy(), matrix(batch.column(2))
+            for i in range(0, len(own), step):
+                i, j = np.nonzero((unit[i : i + step] @ other.T) >= np.float32(min_cos)) + np.array([[i], [0]])
+                apart = own[i] != theirs[j]
+                pairs = np.unique(np.stack([own[i[apart]], theirs[j[apart]]], 1), axis=0)
+                new = list(_joined(pairs.tolist(), parent))
+                if new:
+                    a, b = zip(*new)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = parted.select("idx", "part", "unit")
+    return _blocks_against(rows, rows, compare, "a bigint, b bigint", p, once=True)
+
+
+def core_points(reps: DataFrame, held: DataFrame, min_cos: float, min_points: int, p: CellParams) -> DataFrame:
+    """Of reps (idx, unit), those with min_points vectors within the radius;
+    held (idx, rep) says how many vectors each stands for."""
+    weighed = cut_lineage(reps.join(held.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), F.col("idx") == F.col("rep")).select("idx", "n", "unit"))
+
+    def count(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, other = block.column("n").to_numpy().astype(np.float64), matrix(block.column("unit"))
+        step = max(1, p.exact_cosines // max(1, len(other)))
+        for batch in batches:
+            unit = matrix(batch.column(2))
+            near = [((unit[i : i + step] @ other.T) >= np.float32(min_cos)) @ n for i in range(0, len(unit), step)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(near).astype(np.int64))], names=["idx", "near"])
 
-def cluster_members(vectors: DataFrame, min_cos: float, p: CellParams = CellParams()) -> DataFrame:
-    """(idx, cluster) of every row of vectors (idx, unit); the cluster is named
-    by its smallest idx, and a vector without similar ones is its own.
+    rows = weighed.select("idx", "n", "unit")
+    near = _blocks_against(rows, rows, count, "idx bigint, near bigint", p)
+    core = near.groupBy("idx").agg(F.sum("near").alias("near")).where(F.col("near") >= min_points).select("idx")
+    return cut_lineage(reps.join(core, "idx", "left_semi"))
 
-    Two vectors are neighbours if their cosine is at least min_cos.  Exact
-    copies are one point.  All pairs are compared, those that share no cell
-    by links_between, so no link is missed.  No vectors give no rows.
+
+def nearest_core(others: DataFrame, core: DataFrame, min_cos: float, p: CellParams) -> DataFrame:
+    """(idx, core) of others (idx, unit) with a core point within the radius:
+    the most similar one, ties by the smaller idx."""
+
+    def best(block: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, other = block.column("idx").to_numpy(), matrix(block.column("unit"))
+        order = np.argsort(ids)
+        ids, other = ids[order], other[order]
+        step = max(1, p.exact_cosines // max(1, len(ids)))
+        for batch in batches:
+            own, unit = batch.column(0).to_numpy(), matrix(batch.column(1))
+            for i in range(0, len(own) if len(ids) else 0, step):
+                cos = unit[i : i + step] @ other.T
+                top = cos.argmax(1)
+                value = cos[np.arange(len(top)), top]
+                keep = value >= np.float32(min_cos)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[i : i + step][keep]), pa.array(ids[top[keep]]), pa.array(value[keep].astype(np.float64))], names=["idx", "core", "cos"]
+                )
+
+    found = _blocks_against(others.select("idx", "unit"), core.select("idx", "unit"), best, "idx bigint, core bigint, cos double", p)
+    place = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("cos"), "core"))
+    return found.withColumn("place", place).where("place = 1").select("idx", "core")
+
+
+def cluster_members(vectors: DataFrame, min_cos: float, p: CellParams = CellParams(), min_points: int = 2) -> DataFrame:
+    """(idx, cluster) of every row of vectors (idx, unit); the cluster is named
+    by its smallest core idx, and a vector of no cluster is its own.
+
+    Two vectors are neighbours if their cosine is at least min_cos; a core
+    point has min_points vectors within that, itself and its copies included.
+    Chains of core points make a cluster, and a point that is not dense joins
+    the cluster of its most similar core neighbour.  Exact copies are one
+    point.  All pairs are compared, those that share no cell by links_between,
+    so no link is missed.  No vectors give no rows.  vectors should be a
+    stored table with idx unique.
     """
     reps, held = copies_collapsed(vectors)
-    parts = components(similarity_links(reps, min_cos, p)).withColumnRenamed("id", "idx")
-    parted = reps.join(parts, "idx", "left").select(
-        "idx", F.coalesce("root", "idx").alias("part"), F.col("unit").cast("array<float>").alias("unit")
-    )
-    parted = cut_lineage(parted.repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism, "idx"))
+    core = reps if min_points <= 2 else core_points(reps, held, min_cos, min_points, p)
+    parts = components(similarity_links(core, min_cos, p)).withColumnRenamed("id", "idx")
+    parted = cut_lineage(core.join(parts, "idx", "left").select("idx", F.coalesce("root", "idx").alias("part"), "unit"))
     whole = components(links_between(parted, min_cos, p)).withColumnRenamed("id", "part")
     roots = parted.select(F.col("idx").alias("rep"), "part").join(whole, "part", "left")
     roots = roots.select("rep", F.coalesce("root", "part").alias("cluster"))
+    if min_points > 2:
+        roots = cut_lineage(roots)
+        others = cut_lineage(reps.join(core.select("idx"), "idx", "left_anti"))
+        near = nearest_core(others, core, min_cos, p).join(roots.withColumnRenamed("rep", "core"), "core")
+        rest = others.select(F.col("idx").alias("rep")).join(near.select(F.col("idx").alias("rep"), "cluster"), "rep", "left")
+        roots = roots.unionByName(rest.select("rep", F.coalesce("cluster", "rep").alias("cluster")))
     return held.join(roots, "rep").select("idx", "cluster")
 
 
+#: Members of a cluster that one task pairs with all others of it.
+PAIRED_ROWS = 1_024
+
+
 def cluster_pairs(members: DataFrame) -> DataFrame:
-    """(idx_a, idx_b), idx_a < idx_b: every pair of one cluster."""
-    a = members.select("cluster", F.col("idx").alias("idx_a"))
-    b = members.select("cluster", F.col("idx").alias("idx_b"))
-    return a.join(b, "cluster").where(F.col("idx_a") < F.col("idx_b")).select("idx_a", "idx_b")
+    """(idx_a, idx_b), idx_a < idx_b: every pair of one cluster.
+
+    A cluster of n has n * (n - 1) / 2 pairs, see cluster_members() for the
+    short form.  Members are dealt over parts of about PAIRED_ROWS, and each
+    part meets the whole cluster on its own, so a large one is spread over
+    many tasks.
+    """
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / PAIRED_ROWS).cast("int")
+    dealt = members.join(size, "cluster").withColumn("parts", parts)
+    a = dealt.select("cluster", F.col("idx").alias("idx_a"), F.pmod(F.xxhash64("idx"), "parts").cast("int").alias("part"))
+    b = dealt.select("cluster", F.col("idx").alias("idx_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["cluster", "part"]).where(F.col("idx_a") < F.col("idx_b")).select("idx_a", "idx_b")
 
 
 def described_clusters(vectors: DataFrame, members: DataFrame, typical: int = 3) -> DataFrame:

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.runtime import cut_lineage
+
 DIM = 64
 
 
 def usable_vectors(df: DataFrame, dim: int = DIM) -> DataFrame:
-    """(idx, w, unit): per idx its latest usable vector, scaled to length 1.
+    """(idx, w, unit): per idx its latest usable vector, scaled to length 1 and
+    kept in single precision.
 
     Usable is a vector of dim finite components that are not all zero.  Ties
-    in trained_at go to the later iteration, then to the larger w and vector.
+    in trained_at go to the later iteration, then to the larger w and unit.
     Null idx name no word and are left out; other columns are ignored.
     """
     v = F.col("m_vec")
@@ -24,26 +27,35 @@ def usable_vectors(df: DataFrame, dim: int = DIM) -> DataFrame:
     usable = df.where(
         F.col("idx").isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0)
     )
-    last = usable.groupBy("idx").agg(F.max(F.struct("trained_at", "iteration", "w", "m_vec")).alias("last"))
     # Divisors go through array_repeat: named inside the lambda, they would be
     # computed again for every component.
     over = lambda v, by: F.zip_with(v, F.array_repeat(by, dim), lambda x, y: x / y)
-    big = F.array_max(F.transform("vec", lambda x: F.abs(x)))
-    scaled = last.select("idx", F.col("last.w").alias("w"), F.col("last.m_vec").alias("vec")).withColumn("vec", over("vec", big))
+    big = F.array_max(F.transform("m_vec", lambda x: F.abs(x)))
+    scaled = usable.select("idx", "w", "trained_at", "iteration", over("m_vec", big).alias("vec"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.select("idx", "w", over("vec", norm).alias("unit"))
+    # Scaled before the shuffle, which then moves half the bytes.
+    units = scaled.select("idx", F.struct("trained_at", "iteration", "w", over("vec", norm).cast("array<float>").alias("unit")).alias("row"))
+    return units.groupBy("idx").agg(F.max("row").alias("row")).select("idx", "row.w", "row.unit")
+
+
+def single(vectors: DataFrame) -> DataFrame:
+    """(idx, unit) in single precision."""
+    return vectors.select("idx", F.col("unit").cast("array<float>").alias("unit"))
 
 
 def copies_collapsed(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Representatives (idx, unit) of exact copies, and (idx, rep) of all rows.
 
     A vector held by any share of the rows is one representative, so later
-    steps never meet a group of copies.
+    steps never meet a group of copies.  Copies are told by two 64-bit hashes,
+    so no vector is shuffled to find them.  vectors (idx, unit) should be
+    stored, with idx unique; so is what comes back.
     """
-    hashed = vectors.select("idx", F.xxhash64("unit").alias("hash"), "unit")
-    reps = hashed.groupBy("hash", "unit").agg(F.min("idx").alias("rep"))
-    held = hashed.join(reps, ["hash", "unit"]).select("idx", "rep")
-    return reps.select(F.col("rep").alias("idx"), "unit"), held
+    hashed = vectors.select("idx", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(7), "unit").alias("h2"))
+    least = hashed.groupBy("h1", "h2").agg(F.min("idx").alias("rep"))
+    held = cut_lineage(hashed.join(least, ["h1", "h2"]).select("idx", "rep"))
+    copies = held.where(F.col("idx") != F.col("rep")).select("idx")
+    return cut_lineage(single(vectors).join(copies, "idx", "left_anti")), held
 
 
 def bounded_sample(vectors: DataFrame, rows: int, total: int, seed: int = 11) -> np.ndarray:
