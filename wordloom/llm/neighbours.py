@@ -3,7 +3,12 @@
 A forest of random-projection trees is fitted on a bounded sample and every
 vector is filed in one leaf of each tree.  A search pops the most promising
 branch from one priority queue shared by all trees until it has visited
-enough leaves; the vectors in those leaves are compared exactly.
+enough leaves; the vectors in those leaves are compared exactly, and what a
+search meets learns of it too.
+
+Leaves are large and visits few, as each visit moves the vector once.  Trees
+find what is close; a vector without close ones has neighbours in no
+particular direction, so such searches can be repeated against all rows.
 """
 
 from __future__ import annotations
@@ -22,17 +27,23 @@ from wordloom.runtime import cut_lineage
 
 @dataclass(frozen=True)
 class ForestParams:
-    trees: int = 8
+    trees: int = 4
     #: Leaves visited by a search, in all trees together.
-    visits: int = 20
+    visits: int = 6
     #: Vectors on the driver to fit the splits of a tree.
-    sample_rows: int = 32_768
+    sample_rows: int = 65_536
     #: Vectors wanted in a leaf, and sampled vectors it takes at least; beyond
     #: leaf_rows / leaf_least * sample_rows vectors the leaves grow with them.
-    leaf_rows: int = 300
+    leaf_rows: int = 8_192
     leaf_least: int = 8
     #: Leaves expected to be larger are worked on in blocks.
-    block_rows: int = 4_096
+    block_rows: int = 32_768
+    #: Cosines a task holds at once, and searches of a broadcast block of the
+    #: repeated search.
+    cosines: int = 4_194_304
+    exact_rows: int = 32_768
+    #: A search that found k vectors of at least this cosine is settled.
+    settled: float = 0.75
 
 
 class Forest:
@@ -136,19 +147,90 @@ class Forest:
         return out
 
 
+#: Single precision may order cosines otherwise than double within this many.
+SPARE = 4
+
+
+class _Best:
+    """The `size` largest cosines met so far of each of n rows."""
+
+    def __init__(self, n: int, size: int, floor: np.ndarray | float) -> None:
+        self.value = np.full((n, size), -np.inf, np.float32)
+        self.other = np.full((n, size), -1, np.int64)
+        self.floor = np.broadcast_to(np.float32(floor), n).copy()
+        self.least = self.floor.copy()
+
+    def add(self, row: np.ndarray, other: np.ndarray, value: np.ndarray) -> None:
+        size = self.value.shape[1]
+        touched = np.unique(row)
+        every = np.repeat(touched, size)
+        r = np.r_[every, row]
+        o = np.r_[self.other[touched].ravel(), other]
+        v = np.r_[self.value[touched].ravel(), value]
+        order = np.lexsort((o, -v, r))
+        r, o, v = r[order], o[order], v[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < size
+        self.value[touched] = v[keep].reshape(-1, size)
+        self.other[touched] = o[keep].reshape(-1, size)
+        self.least[touched] = np.maximum(self.value[touched, -1], self.floor[touched])
+
+    def meet(self, cos: np.ndarray, first: int) -> None:
+        """cos[i, j] is the cosine of row i and the vector number first + j."""
+        size = self.value.shape[1]
+        if np.isneginf(self.least).any() and cos.shape[1] > size:
+            # Nothing to beat yet: the best of this stretch.
+            col = np.argpartition(-cos, size - 1, axis=1)[:, :size]
+            row = np.repeat(np.arange(len(cos)), size)
+            col = col.ravel()
+            better = cos[row, col] > self.least[row]
+            row, col = row[better], col[better]
+        else:
+            row, col = np.nonzero(cos > self.least[:, None])
+        if len(row):
+            self.add(row, first + col, cos[row, col])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        row, place = np.nonzero(self.other >= 0)
+        return row, self.other[row, place]
+
+
+def _double(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of paired rows; unlike a matrix product, of the same value
+    wherever and in whichever order two rows meet."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d].astype(np.float64) * b[:, d]
+    return out
+
+
+def _pair_batch(who: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of each who."""
+    order = np.lexsort((other, -cos, who))
+    who, other, cos = who[order], other[order], cos[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return pa.RecordBatch.from_arrays(
+        [pa.array(who[keep], pa.int64()), pa.array(other[keep], pa.int64()), pa.array(cos[keep], pa.float64())], names=["idx", "other", "cos"]
+    )
+
+
+PAIR = "idx bigint, other bigint, cos double"
+
+
 def _rep_neighbours(reps: DataFrame, k: int, min_cos: float, p: ForestParams) -> DataFrame:
-    """(idx, other, cos): up to k other representatives for each."""
+    """(idx, other, cos): others of each representative, the k best of each
+    leaf or more."""
     spark = reps.sparkSession
     total = reps.count()
     if not total:
-        return spark.createDataFrame([], "idx bigint, other bigint, cos double")
+        return spark.createDataFrame([], PAIR)
     forest = spark.sparkContext.broadcast(Forest(bounded_sample(reps, p.sample_rows, total), total, p))
 
     def file(batches):
         f = forest.value
         for batch in batches:
             all_ids = batch.column("idx").to_numpy(zero_copy_only=False)
-            all_unit = matrix(batch.column("unit")).astype(np.float32)
+            all_unit = matrix(batch.column("unit"))
             for i in range(0, len(all_ids), 1024):
                 ids, unit = all_ids[i : i + 1024], all_unit[i : i + 1024]
                 leaf = f.visits(unit)
@@ -185,35 +267,95 @@ def _rep_neighbours(reps: DataFrame, k: int, min_cos: float, p: ForestParams) ->
         role = rows.column("role").to_numpy()
         ids = rows.column("idx").to_numpy()
         unit = unpacked(rows.column("unit"), DIM)
-        seek, held = role != 1, role != 0
-        a, b = ids[seek], ids[held]
-        if not len(a) or not len(b):
+        # Those that only search come first, so theirs are the first rows.
+        seek, held = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        seek = seek[np.argsort(role[seek], kind="stable")]
+        if not len(seek) or not len(held):
             return None
-        order = np.argsort(b, kind="stable")
-        b, unit_b = b[order], unit[held][order]
-        unit_a = unit[seek]
-        who, other, cos = [], [], []
-        for i in range(0, len(a), 2048):
-            s = unit_a[i : i + 2048] @ unit_b.T
-            s[a[i : i + 2048, None] == b[None, :]] = -2
-            if len(b) > k:
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            else:
-                top = np.broadcast_to(np.arange(len(b)), s.shape)
-            value = np.take_along_axis(s, top, 1)
-            r, c = np.nonzero(value >= max(min_cos, -1.5))
-            who.append(a[i + r])
-            other.append(b[top[r, c]])
-            cos.append(value[r, c])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(v)) for v in (who, other)] + [pa.array(np.concatenate(cos).astype(np.float64))],
-            names=["idx", "other", "cos"],
-        )
+        a, b = ids[seek], ids[held]
+        unit_a, unit_b = unit[seek], unit[held]
+        guests = int((role[seek] == 0).sum())
+        size, floor = k + SPARE, min_cos - 1e-6 if min_cos > -1 else -np.inf
+        found = _Best(len(a), size, floor)
+        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(64, p.cosines // len(a))
+        for i in range(0, len(b), step):
+            s = unit_a @ unit_b[i : i + step].T
+            s[a[:, None] == b[None, i : i + step]] = -np.inf
+            found.meet(s, i)
+            if guests:
+                # What a guest meets has met it: the way back is not searched.
+                met = _Best(s.shape[1], size, floor)
+                met.meet(np.ascontiguousarray(s[:guests].T), 0)
+                row, col = np.nonzero(met.other >= 0)
+                back.append((i + row, met.other[row, col], met.value[row, col]))
+        row, col = found.pairs()
+        who, other = [a[row]], [b[col]]
+        cos = [_double(unit_a[row], unit_b[col])]
+        if back:
+            row, col, value = (np.concatenate(v) for v in zip(*back))
+            # Only what is nearer than what the vector's own search met here.
+            order = np.argsort(a, kind="stable")
+            at = np.minimum(np.searchsorted(a[order], b[row]), len(a) - 1)
+            own = np.where(a[order[at]] == b[row], found.value[order[at], k - 1], -np.inf)
+            row, col = row[value >= own - 1e-6], col[value >= own - 1e-6]
+            who.append(b[row])
+            other.append(a[col])
+            cos.append(_double(unit_b[row], unit_a[col]))
+        return _pair_batch(np.concatenate(who), np.concatenate(other), np.concatenate(cos), k)
 
     filed = reps.mapInArrow(file, "leaf bigint, q bigint, x bigint, role bigint, idx bigint, unit binary")
-    found = by_group(filed, ["leaf", "q", "x"], compare, "idx bigint, other bigint, cos double")
-    once = found.groupBy("idx", "other").agg(F.max("cos").alias("cos"))
-    return _best(once, k)
+    found = by_group(filed, ["leaf", "q", "x"], compare, PAIR)
+    return _best(found.where(F.col("cos") >= min_cos).groupBy("idx", "other").agg(F.max("cos").alias("cos")), k)
+
+
+def _searched_again(reps: DataFrame, near: DataFrame, k: int, min_cos: float, p: ForestParams) -> DataFrame:
+    """(idx, other, cos) of searches that near leaves unsettled, against all
+    rows: each has the k nearest or more.
+
+    Searches are broadcast in blocks of exact_rows; a task reports at most k
+    for each, of what is nearer than the k-th that near has.
+    """
+    context = reps.sparkSession.sparkContext
+    close = F.count(F.when(F.col("cos") >= p.settled, 1)).alias("close")
+    have = near.groupBy("idx").agg(close, F.count(F.lit(1)).alias("n"), F.min("cos").alias("least"))
+    floor = F.when(F.col("n") >= k, F.col("least")).otherwise(min_cos)
+    asked = reps.join(have, "idx", "left").where(F.coalesce("close", F.lit(0)) < k)
+    asked = cut_lineage(asked.select("idx", "unit", F.coalesce(floor, F.lit(float(min_cos))).alias("floor")))
+    blocks = -(-asked.count() // p.exact_rows)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(max(1, blocks))))
+
+    def search(shared):
+        def run(batches):
+            ids, unit, floor = shared.value
+            found = _Best(len(ids), k + SPARE, floor)
+            own, mine = [], []
+            step, seen = max(64, p.cosines // max(1, len(ids))), 0
+            for batch in batches:
+                other, theirs = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+                own.append(other)
+                mine.append(theirs)
+                for i in range(0, len(other), step):
+                    s = unit @ theirs[i : i + step].T
+                    s[ids[:, None] == other[None, i : i + step]] = -np.inf
+                    found.meet(s, seen + i)
+                seen += len(other)
+            row, col = found.pairs()
+            if len(row):
+                at, other = np.unique(col), np.concatenate(own)
+                theirs = np.concatenate(mine)[at][np.searchsorted(at, col)]
+                yield _pair_batch(ids[row], other[col], _double(unit[row], theirs), k)
+
+        return run
+
+    found = near.where("false")
+    for b in range(blocks):
+        held = asked.where(F.col("block") == b).select("idx", "unit", "floor").toArrow()
+        floor = np.where(held.column("floor").to_numpy() <= -1, -np.inf, held.column("floor").to_numpy() - 1e-6).astype(np.float32)
+        shared = context.broadcast((held.column("idx").to_numpy(), matrix(held.column("unit")), floor))
+        found = found.unionByName(cut_lineage(reps.select("idx", "unit").mapInArrow(search(shared), PAIR)))
+        shared.destroy()
+    return found.where(F.col("cos") >= min_cos)
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -221,20 +363,27 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def nearest_vectors(vectors: DataFrame, k: int, min_cos: float = -1.0, p: ForestParams = ForestParams()) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int, min_cos: float = -1.0, p: ForestParams = ForestParams(), exact: bool = False) -> DataFrame:
     """(idx, other, cos): for each row of vectors (idx, unit) up to k others with
     the largest cosines of at least min_cos, ties by the smaller idx.
 
     Exact copies are searched once: a member of a group of copies has its
     fellow members as neighbours at cosine 1, then the neighbours of its
     representative, each standing for its first members.  Recall is below 1
-    by the forest's design; README gives the measured value.
+    by the forest's design; README gives the measured value.  With `exact`,
+    searches that found fewer than k vectors of cosine p.settled are repeated
+    against all rows, at a cost of their number times the rows.
+    vectors should be a stored table with idx unique.
     """
     reps, held = copies_collapsed(vectors)
-    held = cut_lineage(held)
     place = F.row_number().over(Window.partitionBy("rep").orderBy("idx"))
     first = held.withColumn("place", place).where(F.col("place") <= k + 1).select("rep", F.col("idx").alias("other"))
-    near = _rep_neighbours(reps, k, min_cos, p).select("idx", F.col("other").alias("rep"), "cos")
+    near = _rep_neighbours(reps, k, min_cos, p)
+    if exact:
+        near = cut_lineage(near)
+        more = near.unionByName(_searched_again(reps, near, k, min_cos, p))
+        near = _best(more.groupBy("idx", "other").agg(F.max("cos").alias("cos")), k)
+    near = near.select("idx", F.col("other").alias("rep"), "cos")
     from_near = (
         near.join(first, "rep")
         .select(F.col("idx").alias("rep"), "other", "cos")
