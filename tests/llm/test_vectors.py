@@ -101,16 +101,28 @@ def test_components_of_a_long_chain(spark):
     assert components(df.where("a > 999")).count() == 0
 
 
+def test_components_by_rounds(spark):
+    """Beyond what one task joins."""
+    rng = np.random.default_rng(1)
+    links = [(i, i + 1) for i in range(60)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (150, 2))]
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    few = {r.id: r.root for r in components(df).collect()}
+    assert {r.id: r.root for r in components(df, few_links=0).collect()} == few and few[60] == 0
+
+
 def test_components_of_a_star(spark):
     df = spark.range(1, 3000).select(F.col("id").alias("a"), F.lit(0).cast("bigint").alias("b"))
     assert {r.root for r in components(df).collect()} == {0}
 
 
 def brute_neighbours(m, k, least):
+    """On distinct rows, so that copies of a vector have one and the same
+    cosine with it, then expanded."""
     u = (m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32)
-    s = (u @ u.T).astype(np.float64)
-    same = (m[:, None] == m[None]).all(-1)
-    s[same] = 1.0
+    distinct, at = np.unique(u, axis=0, return_inverse=True)
+    s = (distinct.astype(np.float64) @ distinct.T.astype(np.float64))
+    np.fill_diagonal(s, 1.0)
+    s = s[at][:, at]
     out = {}
     for i in range(len(m)):
         order = sorted((j for j in range(len(m)) if j != i and s[i, j] >= least), key=lambda j: (-s[i, j], j))[:k]
@@ -142,6 +154,53 @@ def test_neighbours_in_blocks(spark):
     assert {(r.idx, r.other) for r in neighbours.nearest_vectors(frame(spark, m), 4, 0.2, split).collect()} == exact
 
 
+def test_unsettled_searches_are_exact(spark):
+    """Lone vectors, where trees find little, with rows and searches in blocks."""
+    rng = np.random.default_rng(3)
+    m = np.concatenate([made(20), rng.normal(size=(1500, 64))])
+    few = neighbours.ForestParams(trees=2, visits=2, leaf_rows=60, exact_rows=400, cosines=20_000)
+    expected = {(i, j) for i, js in brute_neighbours(m, 10, -1).items() for j in js}
+    loose = {(r.idx, r.other) for r in neighbours.nearest_vectors(frame(spark, m), 10, p=few).collect()}
+    assert len(loose & expected) < 0.7 * len(expected)
+    got = {(r.idx, r.other) for r in neighbours.nearest_vectors(frame(spark, m), 10, p=few, exact=True).collect()}
+    assert len(got) == len(expected) and len(got & expected) >= 0.999 * len(expected)
+
+
+def brute_density(m, least, min_points):
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    cos = u @ u.T
+    core = np.flatnonzero((cos >= least).sum(1) >= min_points)
+    # Exact copies are one point, also where it is in no cluster.
+    out = np.array([np.flatnonzero((m == row).all(1))[0] for row in m])
+    label = core.copy()
+    near = cos[np.ix_(core, core)] >= least
+    while len(core):
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            break
+        label = new
+    out[core] = label
+    for i in np.setdiff1d(np.arange(len(m)), core):
+        best = [(-round(cos[i, c], 6), c) for c in core if cos[i, c] >= least]
+        if best:
+            out[i] = out[min(best)[1]]
+    return out
+
+
+@pytest.mark.parametrize("min_points", [1, 3, 5, 400])
+def test_density(spark, min_points):
+    m = made(30, seed=9)
+    got = clusters.cluster_members(frame(spark, m), 0.75, clusters.CellParams(exact_rows=50, exact_cosines=2_000), min_points)
+    expected = brute_density(m, 0.75, min_points)
+    assert {r.idx: r.cluster for r in got.collect()} == dict(enumerate(expected.tolist()))
+
+
+def test_pairs_of_a_large_cluster(spark):
+    members = spark.createDataFrame([(i, 0 if i < 2500 else i) for i in range(2600)], "idx bigint, cluster bigint")
+    pairs = clusters.cluster_pairs(members)
+    assert pairs.count() == 2500 * 2499 // 2 == pairs.distinct().count()
+
+
 def test_usable(spark):
     v = [1.0] + [0.0] * 63
     rows = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import WHITE, token_count
+from wordloom.functions.text import WHITE, token_count, token_pattern
 from wordloom.llm.clusters import cluster_members, cluster_pairs, described_clusters
 from wordloom.llm.distinctive import context_scores, frequent_targets
 from wordloom.llm.frequent import most_frequent, values_above_share
@@ -71,6 +71,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_pairs(cluster_members(_vectors(spark, sf_dir), 0.75))
 
 
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_members(_vectors(spark, sf_dir), 0.75)
+
+
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     return described_clusters(vectors, cluster_members(vectors, 0.75))
@@ -104,7 +108,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
-    near = nearest_vectors(vectors, 10)
+    near = nearest_vectors(vectors, 10, exact=True)
     words = vectors.select(F.col("idx").alias("other"), "w")
     return near.join(words, "other").select("idx", "other", "w", F.round("cos", 4).alias("cos"))
 
@@ -117,6 +121,18 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_items(items, read_table(spark, sf_dir, "pack_spec"))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a valid packing must add up to, per spec."""
+    spec = F.broadcast(read_table(spark, sf_dir, "pack_spec"))
+    per = p8_packed(spark, sf_dir).groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.count(F.when(F.col("piece") == 0, 1)).alias("docs"))
+    whole = per.join(spec, "spec_id").groupBy("spec_id", "capacity").agg(
+        F.sum("docs").alias("n_docs"), F.sum("pieces").alias("n_pieces"), F.sum("n").alias("n_tokens"),
+        F.count(F.when(F.col("n") > F.col("capacity"), 1)).alias("overfull"), F.count(F.lit(1)).alias("held"),
+    )
+    least = F.ceil(F.col("n_tokens") / F.col("capacity"))
+    return whole.select("spec_id", "n_docs", "n_pieces", "n_tokens", "overfull", (F.col("held") <= least * 1.02 + 1).alias("near_bound"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("item_id", "doc_id")
 
@@ -126,6 +142,14 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(documents, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def p9_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the leaks found, those where the text has the item letter by letter."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = F.broadcast(read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
+    both = p9_found(spark, sf_dir).join(documents, "doc_id").join(items, "item_id")
+    return both.where(F.contains("text", "passage")).select("item_id", "doc_id")
+
+
 def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     samples, labels = read_table(spark, sf_dir, "lang_sample"), read_table(spark, sf_dir, "lang_label")
@@ -143,6 +167,21 @@ def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stretches(spark, sf_dir).withColumn("confidence", F.round("confidence", 4))
 
 
+def p10_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every trusted sample by a model of the others."""
+    samples = read_table(spark, sf_dir, "lang_sample")
+    nothing = read_table(spark, sf_dir, "documents").where("false")
+    labels = read_table(spark, sf_dir, "lang_label")
+    fold = F.pmod("sample_id", F.lit(4))
+    found = None
+    for k in range(4):
+        model = fitted_on(nothing, samples.where(fold != k), labels)
+        asked = samples.where(fold == k).select(F.col("sample_id").alias("doc_id"), "text")
+        part = document_languages(document_stretches(asked, model))
+        found = part if found is None else found.unionByName(part)
+    return found.select(F.col("doc_id").alias("sample_id"), F.col("langs")[0]["lang"].alias("lang"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_words": p1_top_words,
@@ -151,16 +190,20 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_term_counts": p3_term_counts,
     "p4_found": p4_found,
+    "p4_members": p4_members,
     "p4_clusters": p4_clusters,
     "p5_found": p5_found,
     "p5_context_scores": p5_context_scores,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
     "p8_packed": p8_packed,
+    "p8_totals": p8_totals,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p9_verbatim": p9_verbatim,
     "p10_found": p10_found,
     "p10_stretches": p10_stretches,
+    "p10_held_out": p10_held_out,
 }
 
 COUNTING = """
@@ -204,6 +247,21 @@ SELECT idx, m_vec FROM (
 WHERE place = 1
 """
 
+# Vectors of length 1 in single precision, as the searches hold them.
+UNIT = """
+unit AS (
+ SELECT idx, w, list_transform(s, lambda x: CAST(x / norm AS FLOAT)) AS unit FROM (
+  SELECT idx, w, s, sqrt(list_sum(list_transform(s, lambda x: x * x))) AS norm FROM (
+   SELECT idx, w, list_transform(m_vec, lambda x: x / big) AS s FROM (
+    SELECT idx, w, m_vec, list_max(list_transform(m_vec, lambda x: abs(x))) AS big,
+     row_number() OVER (PARTITION BY idx ORDER BY trained_at DESC, iteration DESC, w DESC) AS place
+    FROM vectors WHERE idx IS NOT NULL AND len(m_vec) = 64
+     AND list_bool_and(list_transform(m_vec, lambda x: x IS NOT NULL AND isfinite(x)))
+     AND list_bool_or(list_transform(m_vec, lambda x: x <> 0)))
+   WHERE place = 1))),
+wide AS (SELECT idx, w, unit, CAST(unit AS DOUBLE[]) AS u FROM unit)
+"""
+
 # Both searches are approximate by design; these are the exact results, which
 # they give on tables of the size that the SQL is run on.
 SIMILAR = f"""
@@ -258,6 +316,31 @@ FROM s
 WITH RECURSIVE {SIMILAR},
  reach AS (SELECT idx AS root, idx FROM v UNION SELECT r.root, n.b FROM reach r JOIN near n ON n.a = r.idx)
 SELECT root AS idx_a, idx AS idx_b FROM reach WHERE root < idx
+""",
+    "p4_members": f"""
+WITH RECURSIVE {SIMILAR},
+ reach AS (SELECT idx AS root, idx FROM v UNION SELECT r.root, n.b FROM reach r JOIN near n ON n.a = r.idx)
+SELECT idx, min(root) AS cluster FROM reach GROUP BY idx
+""",
+    "p4_clusters": f"""
+WITH RECURSIVE {SIMILAR}, {UNIT},
+ reach AS (SELECT idx AS root, idx FROM v UNION SELECT r.root, n.b FROM reach r JOIN near n ON n.a = r.idx),
+ member AS (SELECT idx, min(root) AS cluster FROM reach GROUP BY idx),
+ part AS (SELECT cluster, i, sum(x) AS x FROM (
+  SELECT cluster, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM member JOIN wide USING (idx)) GROUP BY cluster, i),
+ centre AS (SELECT cluster, list(x ORDER BY i) AS c FROM part GROUP BY cluster),
+ near_ AS (SELECT cluster, idx, w, round(list_dot_product(u, c) / sqrt(list_dot_product(c, c)), 9) AS typicality
+  FROM member JOIN wide USING (idx) JOIN centre USING (cluster)),
+ ranked AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS size,
+  row_number() OVER (PARTITION BY cluster ORDER BY typicality DESC, idx) AS place FROM near_)
+SELECT cluster, size, place, idx, w, typicality FROM ranked WHERE place <= 3
+""",
+    "p7_neighbours": f"""
+WITH {UNIT},
+ met AS (SELECT a.idx, b.idx AS other, b.w, CASE WHEN a.unit = b.unit THEN 1 ELSE list_dot_product(a.u, b.u) END AS cos
+  FROM wide a JOIN wide b ON a.idx <> b.idx),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY cos DESC, other) AS place FROM met)
+SELECT idx, other, w, round(cos, 4) AS cos FROM ranked WHERE place <= 10
 """,
     "p7_found": f"""
 WITH {SIMILAR},
@@ -273,4 +356,14 @@ SELECT corpus_id, w_idx, c_idx, n, t, df,
        round((log2(1 + mean) + tfn * log2((1 + mean) / mean)) / (1 + tfn), 6) AS score
 FROM joined
 """,
+    "p8_totals": f"""
+WITH doc AS (SELECT doc_id, len(regexp_extract_all(text, '{token_pattern()}')) + 1 AS n FROM documents WHERE regexp_matches(text, '[^{WHITE}]'))
+SELECT spec_id, count(*) AS n_docs, CAST(sum(ceil(n / capacity)) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS n_tokens,
+ CAST(0 AS BIGINT) AS overfull, true AS near_bound
+FROM doc, (SELECT spec_id, min(capacity) AS capacity FROM pack_spec GROUP BY spec_id) GROUP BY spec_id
+""",
+    "p9_verbatim": """
+SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+""",
+    "p10_held_out": "SELECT sample_id, lang FROM lang_sample",
 }
