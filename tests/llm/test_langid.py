@@ -66,6 +66,36 @@ def test_documents_of_a_batch_do_not_touch(samples, model, end):
     assert found(texts) == [found([t])[0] for t in texts]
 
 
+def test_parts_hold_every_row():
+    import pyarrow as pa
+
+    from wordloom.llm.batches import parts_of
+
+    texts = ["a" * 10, None, "b" * 95, "", "c" * 500, "d", "e" * 99, "f" * 2, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], names=["i", "t"])
+    parts = [p.column(0).to_pylist() for p in parts_of(batch, 1, rows=3, size=100)]
+    assert parts == [[0, 1], [2, 3], [4], [5, 6], [7, 8]]
+    assert list(parts_of(batch.slice(0, 0), 1)) == []
+
+
+def test_one_pass_gives_the_same(spark, samples, model):
+    texts = [t for _, t in held_out(samples)]
+    texts += [a + "\n" + b for a, b in zip(texts, texts[3:])] + texts[:2] + [None, " "]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, label_lang string")
+    apart = {r.doc_id: r.langs for r in document_languages(document_stretches(docs, model)).collect()}
+    for n in (1, 7):
+        got = langid.judged_documents(docs.repartition(n), model).collect()
+        assert {r.doc_id: r.langs for r in got} == apart and all(r.label_lang == "x" for r in got)
+
+
+def test_sample_depends_on_no_layout(spark, sf_dir, samples):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "lang_label")
+    trusted, p = read_table(spark, sf_dir, "lang_sample"), LangParams(labelled_rows=30)
+    one = langid.fitted_on(docs.coalesce(1).orderBy("doc_id"), trusted, labels, p)
+    many = langid.fitted_on(docs.repartition(9).orderBy("fetched_at"), trusted, labels, p)
+    assert one.exact.keys() == many.exact.keys() and all((one.exact[w] == many.exact[w]).all() for w in one.exact)
+
+
 def test_very_long_text(model):
     (found,) = stretches(Scorer(model), ["and the river of the garden " * 30_000])
     assert [(s.lang, s.words) for s in found] == [("en", 180_000)]

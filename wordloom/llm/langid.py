@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.batches import parts_of
+
 NGRAM = 4
 
 
@@ -215,23 +217,29 @@ class Stretch:
     confidence: float
 
 
-def _best_path(score: np.ndarray, change: np.ndarray) -> np.ndarray:
-    """Most likely language of each word when a change before word i costs
-    change[i]."""
-    n, k = score.shape
-    back = np.zeros((n, k), np.int64)
+def _best_paths(score: np.ndarray, begin: np.ndarray, end: np.ndarray, change: np.ndarray) -> list[np.ndarray]:
+    """Most likely language of each word of the texts score[begin:end] when a
+    change before word i costs change[i].  Texts are walked side by side."""
+    order = np.argsort(begin - end, kind="stable")
+    first, size = begin[order], (end - begin)[order]
+    k = score.shape[1]
     stay = np.arange(k)
-    total = score[0].copy()
-    for i in range(1, n):
-        top = int(total.argmax())
-        moved = total[top] - change[i]
-        back[i] = np.where(total >= moved, stay, top)
-        total = np.maximum(total, moved) + score[i]
-    path = np.zeros(n, np.int64)
-    path[-1] = total.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i][path[i]]
-    return path
+    back = np.zeros((len(score), k), np.int16)
+    total = score[first].copy()
+    going = np.searchsorted(-size, -np.arange(1, size[0]), side="left")  # texts that have a word i
+    for i, n in enumerate(going.tolist(), 1):
+        at = first[:n] + i
+        t = total[:n]
+        top = t.argmax(1)
+        moved = (t[np.arange(n), top] - change[at])[:, None]
+        back[at] = np.where(t >= moved, stay, top[:, None])
+        total[:n] = np.maximum(t, moved) + score[at]
+    path = np.zeros(len(score), np.int64)
+    path[first + size - 1] = total.argmax(1)
+    for i, n in zip(range(len(going), 0, -1), going[::-1].tolist()):
+        at = first[:n] + i
+        path[at - 1] = back[at, path[at]]
+    return [path[i:j] for i, j in zip(begin.tolist(), end.tolist())]
 
 
 def stretches(scorer: Scorer, texts: list[str | None]) -> list[list[Stretch]]:
@@ -262,15 +270,16 @@ def stretches(scorer: Scorer, texts: list[str | None]) -> list[list[Stretch]]:
     langs, p = scorer.model.langs, scorer.model.p
     poor = sums.max(1) < -p.change
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    for i, j in zip(first.tolist(), np.r_[first[1:], len(owner)].tolist()):
-        lo, hi = begin[i], ends[j - 1]
+    last = np.r_[first[1:], len(owner)]
+    one = [bool((best[i:j] == best[i]).all() and not poor[i:j].any()) for i, j in zip(first.tolist(), last.tolist())]
+    lows, highs = begin[first], ends[last - 1]
+    mixed = ~np.array(one)
+    change = np.full(len(score), p.change_inside)
+    change[begin] = p.change
+    paths = iter(_best_paths(score, lows[mixed], highs[mixed], change) if mixed.any() else [])
+    for i, lo, hi, single in zip(first.tolist(), lows.tolist(), highs.tolist(), one):
         part = score[lo:hi]
-        if (best[i:j] == best[i]).all() and not poor[i:j].any():
-            path = np.full(hi - lo, best[i])
-        else:
-            change = np.full(hi - lo, p.change_inside)
-            change[begin[i:j] - lo] = p.change
-            path = _best_path(part, change)
+        path = np.full(hi - lo, best[i]) if single else next(paths)
         cut = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
         found = out[kept[owner[i]]]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -339,15 +348,31 @@ def labels_named(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fitted_on(documents: DataFrame, samples: DataFrame, labels: DataFrame, p: LangParams = LangParams()) -> LangModel:
-    """The model of a corpus: all trusted samples and a bounded, seeded sample
-    of the documents whose label names a language."""
+    """The model of a corpus: all trusted samples and a bounded sample, chosen
+    by hash of doc_id, of the documents whose label names a language."""
     trusted = [(r.lang, r.text) for r in samples.where("lang is not null and text is not null").select("lang", "text").toLocalIterator()]
-    total = documents.count()
-    picked = documents.select("lang", "text")
-    if total > p.labelled_rows:
-        picked = picked.sample(False, p.labelled_rows / total, 17).limit(p.labelled_rows)
-    named = labels_named(picked.where(F.length("text") <= p.labelled_chars), labels).where("label_lang is not null")
-    return fitted(trusted, [(r.label_lang, r.text) for r in named.select("label_lang", "text").collect()], p)
+    named = labels_named(documents.select("doc_id", "lang", "text"), labels)
+    named = named.where(F.col("doc_id").isNotNull() & F.col("label_lang").isNotNull() & (F.length("text") <= p.labelled_chars))
+    # Chosen by hash, so that the model depends on no order or layout of files.
+    place = F.xxhash64(F.lit(17), "doc_id")
+    last = named.select(place.alias("place")).orderBy("place").limit(p.labelled_rows).agg(F.max("place")).first()[0]
+    picked = named.where(place <= last).orderBy(place, "doc_id").limit(p.labelled_rows) if last is not None else named.where("false")
+    return fitted(trusted, [(r.label_lang, r.text) for r in picked.select("label_lang", "text").collect()], p)
+
+
+def _arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def _judged(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[Stretch]]]]:
+    """Parts of batches whose second column is the text, with its stretches.
+    Equal texts of a part are judged once."""
+    for batch in batches:
+        for part in parts_of(batch, 1):
+            coded = part.column(1).dictionary_encode()
+            found = stretches(scorer, coded.dictionary.to_pylist())
+            yield part, [[] if c is None else found[c] for c in coded.indices.to_pylist()]
 
 
 def document_stretches(documents: DataFrame, model: LangModel) -> DataFrame:
@@ -359,28 +384,41 @@ def document_stretches(documents: DataFrame, model: LangModel) -> DataFrame:
     every row is judged on its own, so rows with one doc_id repeat.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id bigint, stretch bigint, lang string, n_words bigint, confidence double"
+    names = ("doc_id", "stretch", "lang", "n_words", "confidence")
+    out = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                ids = part.column(0).to_pylist()
-                rows = [
-                    (d, k, s.lang, s.words, s.confidence)
-                    for d, found in zip(ids, stretches(scorer, part.column(1).to_pylist()))
-                    for k, s in enumerate(found)
-                ]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "stretch", "lang", "n_words", "confidence"]
-                )
+        for part, found in _judged(Scorer(shared.value), batches):
+            ids = part.column(0).to_pylist()
+            yield _arrow_rows([(d, k, s.lang, s.words, s.confidence) for d, own in zip(ids, found) for k, s in enumerate(own)], out)
 
+    schema = "doc_id bigint, stretch bigint, lang string, n_words bigint, confidence double"
     return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, schema)
 
 
+def judged_documents(documents: DataFrame, model: LangModel) -> DataFrame:
+    """(doc_id, label_lang, langs) of documents (doc_id, text, label_lang) with
+    words: langs as in document_languages(), made in the same pass, so that
+    nothing is shuffled.  Every row is judged on its own."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    item = pa.struct([("lang", pa.string()), ("n_words", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("label_lang", pa.string()), ("langs", pa.list_(item))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _judged(Scorer(shared.value), batches):
+            rows = []
+            for d, label, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), found):
+                n = Counter()
+                for s in own:
+                    n[s.lang] += s.words
+                if n:
+                    rows.append((d, label, [{"lang": x, "n_words": k} for x, k in sorted(n.items(), key=lambda y: (-y[1], y[0]))]))
+            yield _arrow_rows(rows, out)
+
+    schema = "doc_id bigint, label_lang string, langs array<struct<lang: string, n_words: bigint>>"
+    return documents.select("doc_id", "text", "label_lang").where("text is not null").mapInArrow(run, schema)
+
+
 def document_languages(found: DataFrame) -> DataFrame:
     """(doc_id, langs) with langs an array of (lang, n_words), most words first,
     ties by lang.  A document has at most as many as the model has languages."""
@@ -392,14 +430,20 @@ def document_languages(found: DataFrame) -> DataFrame:
     return listed.withColumn("langs", F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), x["n_words"].alias("n_words"))))
 
 
-def relabelled(shares: DataFrame, documents: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(doc_id, lang) of documents whose label names no language or another
-    than the main one, or with two languages of at least the least share of
-    the words each: every language that holds that share."""
+def wrongly_labelled(judged: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(doc_id, lang) of judged (doc_id, label_lang, langs) whose label names no
+    language or another than the main one, or with two languages of at least
+    the least share of the words each: every language that holds that share."""
     num, den = least
     total = F.aggregate("langs", F.lit(0).cast("bigint"), lambda s, x: s + x["n_words"])
     held = F.filter("langs", lambda x: x["n_words"] * den >= F.col("total") * num)
-    judged = documents.join(shares.withColumn("total", total).withColumn("held", held), "doc_id")
+    shares = judged.withColumn("total", total).withColumn("held", held)
     main = F.col("langs")[0]["lang"]
     wrong = F.col("label_lang").isNull() | (F.col("label_lang") != main) | (F.size("held") >= 2)
-    return judged.where(wrong).select("doc_id", F.explode("held").alias("held")).select("doc_id", "held.lang")
+    return shares.where(wrong).select("doc_id", F.explode("held").alias("held")).select("doc_id", "held.lang")
+
+
+def relabelled(shares: DataFrame, documents: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """wrongly_labelled() of shares (doc_id, langs) and documents (doc_id,
+    label_lang)."""
+    return wrongly_labelled(documents.join(shares, "doc_id"), least)

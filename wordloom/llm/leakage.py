@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wordloom.llm.batches import parts_of
 from wordloom.runtime import cut_lineage
 
 #: Items whose windows are held in memory at once, and the most words of them
@@ -438,8 +439,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(0, batch.num_rows, 500):
-                    part = batch.slice(i, 500)
+                for part in parts_of(batch, 1):
                     rows = list(leaks_in(shared.value, part.column(0).to_pylist(), part.column(1).to_pylist()))
                     cols = list(zip(*rows)) if rows else [[]] * 5
                     yield pa.RecordBatch.from_arrays(

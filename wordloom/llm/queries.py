@@ -9,7 +9,7 @@ from wordloom.functions.text import WHITE, token_count, token_pattern
 from wordloom.llm.clusters import cluster_members, cluster_pairs, described_clusters
 from wordloom.llm.distinctive import context_scores, frequent_targets
 from wordloom.llm.frequent import most_frequent, values_above_share
-from wordloom.llm.langid import document_languages, document_stretches, fitted_on, labels_named, relabelled
+from wordloom.llm.langid import document_languages, document_stretches, fitted_on, judged_documents, labels_named, wrongly_labelled
 from wordloom.llm.leakage import leaked_items
 from wordloom.llm.neighbours import nearest_vectors
 from wordloom.llm.ngrams import marked, ngram_counts
@@ -157,10 +157,10 @@ def _stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = document_languages(_stretches(spark, sf_dir))
-    labels = read_table(spark, sf_dir, "lang_label")
-    documents = labels_named(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), labels)
-    return relabelled(shares, documents.select("doc_id", "label_lang"), (15, 100))
+    documents = read_table(spark, sf_dir, "documents")
+    samples, labels = read_table(spark, sf_dir, "lang_sample"), read_table(spark, sf_dir, "lang_label")
+    judged = judged_documents(labels_named(documents.select("doc_id", "lang", "text"), labels), fitted_on(documents, samples, labels))
+    return wrongly_labelled(judged, (15, 100))
 
 
 def p10_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
