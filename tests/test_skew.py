@@ -32,7 +32,7 @@ def rows():
 
 def test_totals(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    for share in (0.005, 0.4, 0.99):
+    for share in (None, 0.005, 0.4, 0.99):
         got = word_line_totals(df, share)
         assert {r.w_idx: (r.n_rows, r.sum_cooc, r.n_contexts) for r in got.collect()} == brute(rows())
 
@@ -64,3 +64,28 @@ def test_latest(spark):
     got = {r.k: r.n for r in latest_count(df, ["k"], "n", "at").collect()}
     assert got == {"x": 7, "y": 2, None: 1, "v": big}
     assert {r.k: r.n for r in latest_row(df, ["k"], "at", ["n"]).collect()} == {"x": 7, "y": 2, "z": 0, None: 1, "v": -1}
+
+
+def test_many_warm_keys(spark):
+    """300 keys of 0.3 % each beside one of a tenth: tasks take alike."""
+    from pyspark.sql import functions as F
+
+    from wordloom.operators.skew import dealt, heavy_share
+
+    n = 300_000
+    word = F.when(F.col("id") % 10 == 0, 0).otherwise(1 + F.col("id") % 300)
+    df = spark.range(n).select(
+        F.lit(1).cast("bigint").alias("corpus_id"), (F.col("id") % 11).alias("run_no"), word.cast("bigint").alias("w_idx"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 1013).alias("c_idx"), (F.col("id") % 4).alias("cooc"),
+    )
+    parts = 64
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        heavy = heavy_keys(df, "w_idx", heavy_share(spark))
+        spread = dealt(df, "w_idx", heavy, ["c_idx", "run_no"]).repartition(parts, "w_idx", "__part")
+        sizes = sorted(r["count"] for r in spread.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+        got = {r.w_idx: r.n_rows for r in word_line_totals(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert got == {r.w_idx: r["count"] for r in df.groupBy("w_idx").count().collect()}

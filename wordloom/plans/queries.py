@@ -508,9 +508,9 @@ def train_em(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    totals = word_line_totals(read_table(spark, d, "cooc_line"))
-    rows = read_table(spark, d, "cooc_line").agg(F.count(F.lit(1)))
-    return totals.where(F.col("n_rows") * 100 >= rows.scalar()).select("w_idx")
+    lines = read_table(spark, d, "cooc_line")
+    rows = lines.count()
+    return word_line_totals(lines, total=rows).where(F.col("n_rows") * 100 >= rows).select("w_idx")
 
 
 @query
