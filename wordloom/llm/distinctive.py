@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators.dedupe import version_rank, version_value
 from wordloom.operators.spool import spool_cells
 
 
@@ -61,10 +62,13 @@ def frequent_targets(words: DataFrame, corpora: DataFrame) -> DataFrame:
     words is a vocabulary (corpus_id, idx, freq, counted_at); of rows with
     the same key and time the one with the largest freq counts.
     """
-    last = words.groupBy("corpus_id", "idx").agg(F.max(F.struct("counted_at", "freq")).alias("last"))
+    # One number, so that the newest is found in the hash aggregate; a null freq
+    # is that of its time, and below any other.
+    rank = version_rank(F.col("counted_at"), F.greatest(F.coalesce("freq", F.lit(-1)), F.lit(-1)) + 1)
+    last = words.groupBy("corpus_id", "idx").agg(F.max(rank).alias("last"))
     least = corpora.groupBy(F.col("corpus_id").alias("corpus")).agg(F.max("minfreq").alias("minfreq"))
     return (
         last.join(least, F.col("corpus_id") == F.col("corpus"))
-        .where(F.col("last.freq") >= F.col("minfreq"))
+        .where(version_value(F.col("last")) - 1 >= F.col("minfreq"))
         .select("corpus_id", F.col("idx").alias("w_idx"))
     )
