@@ -33,10 +33,29 @@ def test_spool(spark, tmp_path):
     rows = [(0, 1, 2), (4294967295, 7, 9), (5, 5, 5)]
     cells = spark.createDataFrame(rows, "w_idx bigint, c_idx bigint, cooc bigint")
     formats.write_spool(cells, str(tmp_path / "s"))
-    assert sum(p.stat().st_size for p in (tmp_path / "s").iterdir()) == 36
+    assert sum(len(r.content) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == 36
     assert sorted(tuple(r) for r in formats.read_spool(spark, str(tmp_path / "s")).collect()) == sorted(rows)
 
 
+def test_bare_records(spark, tmp_path):
+    rows = [(k, 2 * k, 3, k % 5) for k in range(1000)]
+    for width in (3, 4):
+        path = tmp_path / f"w{width}"
+        path.mkdir()
+        for part in (0, 1):
+            (path / f"{part}.bin").write_bytes(np.array([r[:width] for r in rows[part::2]], "<u4").tobytes())
+        assert sorted(tuple(r) for r in formats.read_records(spark, str(path), width).collect()) == sorted(r[:width] for r in rows)
+
+
+def test_merge_where_a_word_is_the_number_of_the_header(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "2", [1.0, 2.0]), (1, "b", [3.0, 4.0])], "idx bigint, w string, v array<double>")
+    formats.write_vectors(rows, str(tmp_path / "w"))
+    formats.write_vectors(rows.withColumnRenamed("w", "c"), str(tmp_path / "c"), "c")
+    assert formats.merge_vector_files(spark, str(tmp_path / "w"), str(tmp_path / "c"), str(tmp_path / "out")) == 0
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert lines == ["2 2", "2 2.000000 4.000000", "b 6.000000 8.000000"]
+
+
 def model():
     rng = np.random.default_rng(0)
     return formats.BinaryModel(["cat", "ü"], rng.normal(size=(12, 3)), 3, 6)

@@ -10,7 +10,7 @@ from wordloom.functions.hashing import hash60, uniform
 from wordloom.functions.text import CONTEXT_BREAK
 from wordloom.operators.ordered import ranked
 from wordloom.params import Params
-from wordloom.runtime import BROADCAST_ROWS, broadcast_if_small
+from wordloom.runtime import BROADCAST_ROWS, cut_lineage
 
 
 def subsample_p(freq: Column, corpus_size: Column, t: float) -> Column:
@@ -25,15 +25,33 @@ def keep_p(freq: Column, corpus_size: Column, t: float) -> Column:
     return 1 - subsample_p(freq, corpus_size, t)
 
 
-def subsampled(tokens: DataFrame, vocab: DataFrame, size: int, p: Params) -> DataFrame:
+def known_tokens(tokens: DataFrame, vocab: DataFrame, rows: int | None = None) -> DataFrame:
+    """tokens (doc_id, pos, w) of the vocabulary (w, freq), with freq.
+
+    A vocabulary of at most `rows` words (by default BROADCAST_ROWS) is
+    broadcast.  Of a larger one the most frequent are, and only the tokens of
+    the long tail are shuffled, so no frequent word makes a task of its own.
+    """
+    rows = BROADCAST_ROWS if rows is None else rows
+    words = vocab.select("w", "freq")
+    if words.limit(rows + 1).count() <= rows:
+        return tokens.join(F.broadcast(words), "w")
+    hot = cut_lineage(words.orderBy(F.desc("freq"), "w").limit(rows))
+    cold = words.join(F.broadcast(hot.select("w")), "w", "left_anti")
+    near = tokens.join(F.broadcast(hot), "w")
+    far = tokens.join(F.broadcast(hot.select("w")), "w", "left_anti").join(cold.hint("merge"), "w")
+    return near.unionByName(far)
+
+
+def subsampled(tokens: DataFrame, vocab: DataFrame, size: int, p: Params, rows: int | None = None) -> DataFrame:
     """tokens (doc_id, pos, w) of the vocabulary that survive subsampling.
 
     Words outside the vocabulary go first, then each occurrence is dropped
     with its word's probability; breaks always stay.  Both happen before
     windows are formed, so survivors move closer together.  The vocabulary
-    should be a stored table; it is broadcast if it is small.
+    should be a stored table; see known_tokens() for how it is met.
     """
-    kept = tokens.join(broadcast_if_small(vocab.select("w", "freq")), "w")
+    kept = known_tokens(tokens, vocab, rows)
     if p.subsample > 0:
         drop = subsample_p(F.col("freq"), F.lit(size), p.subsample)
         kept = kept.where((F.col("w") == CONTEXT_BREAK) | (uniform(p.seed, "doc_id", "pos") > drop))
@@ -85,3 +103,9 @@ def drawn(events: DataFrame, noise: DataFrame, keys: list[str], p: Params, seed:
         own = F.regexp_replace("c", "_[^_]*$", "") if p.positional else F.col("c")
         hit = hit.where(own != F.col("w"))
     return hit.drop("__section", "__at", "__low", "__high")
+
+
+#: Ways to draw `negative` contexts for each event, by name: functions of
+#: events, the noise table, the keys of an event and the settings that add the
+#: columns k (from 1) and c.  Others may be added.
+SAMPLERS = {"noise": drawn}

@@ -1,30 +1,43 @@
 """Factorising the association matrix by stochastic gradient descent.
 
-One epoch is a pass of mapInPandas over shuffled examples.  With one worker
-(the default) it is the sequential algorithm in batches; with more, each
-worker trains its part from the same start and the parameters are averaged
-after the epoch.  Matrices travel as binary blobs, one per worker.
+Words and contexts are dealt into as many blocks as there are workers.  An
+epoch is a round of strata: in each, worker i owns word block i and one block
+of contexts, passes the examples of the two in random order and in batches,
+and hands both blocks back, so no two workers ever change one row.  Over the
+strata, whose order is drawn for each epoch, every word block meets every
+context block.  With one worker this is the sequential algorithm.
+
+Parameters are a table with a row per vector; a task holds its two blocks and
+nothing else, so a model may be as large as all workers' memory together.
+Hashed subwords are shared by words of all blocks: each worker gets those of
+its words, and what the workers make of one in a stratum is averaged by how
+often each used it.
 """
 
 from __future__ import annotations
 
 import logging
+import math
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.hashing import uniform
+from wordloom.operators.vectors import grouped_sum, initial_vectors
 from wordloom.params import Params
+from wordloom.runtime import cut_lineage, forget
 
 log = logging.getLogger("wordloom.train")
 
-#: Bytes of parameters that may be broadcast to the workers of an epoch.
-MAX_MODEL_BYTES = 4 << 30
+#: Kinds of parameters: rows of words, of hashed subwords, of contexts.
+WORD, BUCKET, CONTEXT = 0, 1, 2
+#: What a task gets beside them: which bucket rows a word has, and examples.
+MEMBER, EXAMPLE = 3, 4
 
 
 def learning_rate(progress: float, alpha: float) -> float:
@@ -49,10 +62,11 @@ class Subwords:
         return cls(np.arange(n + 1, dtype=np.int64), np.arange(n, dtype=np.int64))
 
     @classmethod
-    def of(cls, table: pd.DataFrame, n: int) -> Subwords:
-        table = table.sort_values(["w_idx", "ord"])
-        count = np.bincount(table["w_idx"].to_numpy(), minlength=n)
-        return cls(np.r_[0, np.cumsum(count)].astype(np.int64), table["sw_idx"].to_numpy(np.int64))
+    def of(cls, n: int, word: np.ndarray, row: np.ndarray) -> Subwords:
+        """n words with a row of their own each, row i of word i, and others."""
+        word, row = np.r_[np.arange(n), word], np.r_[np.arange(n), row]
+        order = np.argsort(word, kind="stable")
+        return cls(np.r_[0, np.cumsum(np.bincount(word, minlength=n))].astype(np.int64), row[order].astype(np.int64))
 
     def flat(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of a batch of words, whose they are, and how many each has."""
@@ -88,84 +102,244 @@ def batch_step(m: np.ndarray, c: np.ndarray, sub: Subwords, w: np.ndarray, k: np
     return float(0.5 * (g * g).sum())
 
 
-def _epoch(examples: DataFrame, m: np.ndarray, c: np.ndarray, sub: Subwords, p: Params, it: int, total: int) -> tuple[np.ndarray, np.ndarray, float, int]:
-    if m.nbytes + c.nbytes > MAX_MODEL_BYTES:
-        raise ValueError(f"the model has {m.nbytes + c.nbytes} bytes; at most {MAX_MODEL_BYTES} are sent to the workers")
-    shared = examples.sparkSession.sparkContext.broadcast((m, c, sub))
-    share = max(1, total // max(1, p.workers))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m0, c0, s = shared.value
-        m1, c1 = m0.copy(), c0.copy()
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _vectors(m: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel()))
+
+
+_IN = "task int, kind int, key double, row bigint, other bigint, copy bigint, y double, v array<double>"
+_OUT = "kind int, row bigint, weight double, v array<double>, loss double, n bigint"
+
+
+class _Task:
+    """The blocks of one worker in a stratum."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+        self.rows: dict[int, list[np.ndarray]] = {k: [] for k in (WORD, BUCKET, CONTEXT)}
+        self.vectors: dict[int, list[np.ndarray]] = {k: [] for k in (WORD, BUCKET, CONTEXT)}
+        self.members: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        """Rows of any kind but examples, in the order of kind and row."""
+        kind = batch.column("kind").to_numpy()
+        row = batch.column("row").to_numpy()
+        for k in np.unique(kind).tolist():
+            at = np.flatnonzero(kind == k)
+            part = batch.slice(at[0], len(at))
+            if k == MEMBER:
+                self.members.append((row[at], part.column("other").to_numpy()))
+            else:
+                self.rows[k].append(row[at])
+                self.vectors[k].append(_matrix(part.column("v"), self.dim))
+
+    def ready(self) -> None:
+        none, empty = np.zeros(0, np.int64), np.zeros((0, self.dim))
+        self.ids = {k: np.concatenate(v) if v else none for k, v in self.rows.items()}
+        held = {k: np.concatenate(v) if v else empty for k, v in self.vectors.items()}
+        self.m = np.concatenate([held[WORD], held[BUCKET]])
+        self.c = held[CONTEXT].copy()
+        n = len(self.ids[WORD])
+        word, bucket = (np.concatenate(x) for x in zip(*self.members)) if self.members else (none, none)
+        word, bucket = np.searchsorted(self.ids[WORD], word), n + np.searchsorted(self.ids[BUCKET], bucket)
+        self.sub = Subwords.of(n, word, bucket) if len(word) else Subwords.own_rows(n)
+        self.used = np.zeros(len(self.m))
+
+    def step(self, w: np.ndarray, k: np.ndarray, y: np.ndarray, rate: float) -> float:
+        w, k = np.searchsorted(self.ids[WORD], w), np.searchsorted(self.ids[CONTEXT], k)
+        if len(self.ids[BUCKET]):
+            np.add.at(self.used, self.sub.flat(w)[0], 1)
+        return batch_step(self.m, self.c, self.sub, w, k, y, rate)
+
+    def result(self, loss: float, n: int) -> Iterator[pa.RecordBatch]:
+        words = len(self.ids[WORD])
+        # A bucket row that was not used here weighs next to nothing.
+        parts = ((WORD, self.m[:words], None), (BUCKET, self.m[words:], self.used[words:] + 1e-9), (CONTEXT, self.c, None))
+        names = ["kind", "row", "weight", "v", "loss", "n"]
+        for kind, m, weight in parts:
+            for i in range(0, len(m), 4096):
+                v, size = m[i : i + 4096], len(m[i : i + 4096])
+                w = np.ones(size) if weight is None else weight[i : i + 4096]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, kind, np.int32)), pa.array(self.ids[kind][i : i + 4096]), pa.array(w), _vectors(v), pa.nulls(size, pa.float64()), pa.nulls(size, pa.int64())],
+                    names=names,
+                )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.float64())), pa.array([loss]), pa.array([n], pa.int64())],
+            names=names,
+        )
+
+
+def _stratum(parameters: DataFrame, members: DataFrame | None, examples: DataFrame, p: Params, blocks: int, it: int, s: int, turn: int, share: int) -> DataFrame:
+    """Stratum s, the turn-th of its epoch: parameters (kind, row, v) as they
+    come out of it, with a row of kind -1 per task that has its loss and number
+    of examples."""
+    mod = lambda x: F.pmod(x, F.lit(blocks)).cast("int")
+    null = lambda kind: F.lit(None).cast(kind)
+    row, kind = F.col("row"), F.col("kind")
+    # Many null arrays cost several times as much on their way to Python.
+    no_vector = F.array().cast("array<double>")
+
+    def given(df: DataFrame, task, what) -> DataFrame:
+        return df.select(task.alias("task"), what.alias("kind"), null("double").alias("key"), "row", null("bigint").alias("other"), null("bigint").alias("copy"), null("double").alias("y"), "v")
+
+    own = F.when(kind == WORD, mod(row)).otherwise(mod(row - s))
+    parts = given(parameters.where(kind != BUCKET), own, kind)
+    if members is not None:
+        asked = members.select(mod("w_idx").alias("task"), F.col("row").alias("wanted")).distinct()
+        shared = parameters.where(kind == BUCKET).join(asked, row == F.col("wanted"))
+        parts = parts.unionByName(given(shared, F.col("task"), kind)).unionByName(
+            members.select(
+                mod("w_idx").alias("task"), F.lit(MEMBER).alias("kind"), null("double").alias("key"), F.col("w_idx").alias("row"), F.col("row").alias("other"),
+                null("bigint").alias("copy"), null("double").alias("y"), no_vector.alias("v"),
+            )
+        )
+    lines = examples.where(mod(F.col("c_idx") - F.col("w_idx")) == s).select(
+        mod("w_idx").alias("task"), F.lit(EXAMPLE).alias("kind"), uniform(p.seed + it, "w_idx", "c_idx", "copy").alias("key"), F.col("w_idx").alias("row"),
+        F.col("c_idx").alias("other"), "copy", "y", no_vector.alias("v"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, started = _Task(p.dim), False
+        # As often as in a batch of all words, one of a block meets a row again.
+        batch = max(1, p.batch // blocks)
         loss, done = 0.0, 0
-        for pdf in batches:
-            w, k, y = pdf["w_idx"].to_numpy(np.int64), pdf["c_idx"].to_numpy(np.int64), pdf["y"].to_numpy(np.float64)
-            for i in range(0, len(w), p.batch):
-                rate = learning_rate((it + min(1.0, done / share)) / p.iterations, p.alpha)
-                part = slice(i, i + p.batch)
-                loss += batch_step(m1, c1, s, w[part], k[part], y[part], rate)
+        held: list[pa.RecordBatch] = []
+
+        def passed(rows: pa.Table, last: bool) -> int:
+            """Steps over whole batches of rows, and the rest if it is the last."""
+            nonlocal loss, done
+            w, k, y = (rows.column(x).to_numpy() for x in ("row", "other", "y"))
+            upto = len(w) if last else len(w) // batch * batch
+            for i in range(0, upto, batch):
+                rate = learning_rate((it + (turn + min(1.0, done / share)) / blocks) / p.iterations, p.alpha)
+                part = slice(i, min(i + batch, upto))
+                loss += task.step(w[part], k[part], y[part], rate)
                 done += len(w[part])
-        if done:
-            yield pd.DataFrame({"m": [m1.tobytes()], "c": [c1.tobytes()], "loss": [loss], "n": [done]})
-
-    ordered = examples.withColumn("u", uniform(p.seed + it, "w_idx", "c_idx", "copy"))
-    parts = (
-        ordered.repartition(max(1, p.workers), F.col("u")).sortWithinPartitions("u", "w_idx", "c_idx", "copy").select("w_idx", "c_idx", "y")
-        .mapInPandas(run, "m binary, c binary, loss double, n bigint")
-    )
-    # One row per worker; their number is a setting, their size is checked above.
-    m_sum, c_sum, loss, n = np.zeros_like(m), np.zeros_like(c), 0.0, 0
-    for r in parts.toLocalIterator():
-        m_sum += np.frombuffer(r["m"]).reshape(m.shape) * r["n"]
-        c_sum += np.frombuffer(r["c"]).reshape(c.shape) * r["n"]
-        loss, n = loss + r["loss"], n + r["n"]
-    shared.unpersist()
-    return (m_sum / n, c_sum / n, loss, n) if n else (m, c, 0.0, 0)
+            return upto
+
+        for given in batches:
+            cut = int(np.searchsorted(given.column("kind").to_numpy(), EXAMPLE))
+            if cut:
+                task.take(given.slice(0, cut))
+            if cut < given.num_rows:
+                if not started:
+                    task.ready()
+                    started = True
+                rows = pa.Table.from_batches([*held, given.slice(cut)])
+                held = rows.slice(passed(rows, False)).to_batches()
+        if not started:
+            task.ready()
+        if held:
+            passed(pa.Table.from_batches(held), True)
+        yield from task.result(loss, done)
+
+    dealt = parts.unionByName(lines).repartitionById(blocks, F.col("task"))
+    ordered = dealt.sortWithinPartitions("kind", "key", "row", "other", "copy")
+    return ordered.drop("task", "copy").mapInArrow(run, _OUT)
+
+
+def _merged(out: DataFrame, dim: int, hashed: bool) -> DataFrame:
+    """(kind, row, v) of what the tasks gave back; shared rows are averaged."""
+    kept = out.where(F.col("kind").isin(WORD, CONTEXT)).select("kind", "row", "v")
+    if not hashed:
+        return kept
+    shared = out.where(F.col("kind") == BUCKET)
+    weighed = shared.select("row", F.transform("v", lambda x: x * F.col("weight")).alias("v"), "weight")
+    sums = grouped_sum(weighed.withColumn("v", F.concat("v", F.array("weight"))), "row", "v", dim + 1)
+    mean = F.transform(F.slice("v", 1, dim), lambda x: x / F.element_at("v", dim + 1))
+    return kept.unionByName(sums.select(F.lit(BUCKET).alias("kind"), "row", mean.alias("v")))
 
 
 @dataclass
 class Trained:
-    words: np.ndarray
-    contexts: np.ndarray
+    """Parameters (kind, row, v), stored, and the mean loss of each epoch."""
+
+    parameters: DataFrame
     losses: list[float]
+    dim: int
+
+    def rows(self, *kinds: int) -> DataFrame:
+        """(row, v) of some kinds; rows of words and buckets make one matrix."""
+        return self.parameters.where(F.col("kind").isin(*kinds)).select("row", "v")
+
+    def _array(self, *kinds: int) -> np.ndarray:
+        """On the driver, for small models and the binary model file."""
+        got = self.rows(*kinds).orderBy("row").toArrow()
+        return _matrix(got.column("v").combine_chunks(), self.dim) if len(got) else np.zeros((0, self.dim))
+
+    @property
+    def words(self) -> np.ndarray:
+        return self._array(WORD, BUCKET)
+
+    @property
+    def contexts(self) -> np.ndarray:
+        return self._array(CONTEXT)
+
 
+def started(spark: SparkSession, n_words: int, n_rows: int, n_contexts: int, p: Params) -> DataFrame:
+    """(kind, row, v) before any training, uniform in (-0.5, 0.5) / dim by hash."""
+    kind = F.when(F.col("id") < n_words, WORD).otherwise(BUCKET)
+    words = spark.range(n_rows).select(kind.alias("kind"), F.col("id").alias("row"))
+    contexts = spark.range(n_contexts).select(F.lit(CONTEXT).alias("kind"), F.col("id").alias("row"))
+    return initial_vectors(words, p.dim, p.seed).unionByName(initial_vectors(contexts, p.dim, p.seed + 1))
 
-def train(examples, n_rows: int, n_contexts: int, p: Params, subwords: Subwords | None = None, n_words: int | None = None) -> Trained:
+
+def blocks_for(total: int, p: Params) -> int:
+    """Workers of an epoch: as many as asked, where each has block_examples at
+    least in a stratum."""
+    return max(1, min(p.workers, math.isqrt(total // p.block_examples)))
+
+
+def train(examples, n_words: int, n_contexts: int, p: Params, members: DataFrame | None = None, n_rows: int | None = None) -> Trained:
     """Vectors from examples (w_idx, c_idx, y, copy), or from a function of the
     iteration that returns such a table (fresh draws each epoch).
 
+    members (w_idx, row) names the rows that a word has beside its own, in
+    0..n_rows - 1 behind the words; a word's vector is the mean of its rows.
     losses has the mean half squared error of each epoch.  A loss that is no
     number ends the training with an error; no examples leave the start.
     """
-    rng = np.random.default_rng(p.seed)
-    m = (rng.random((n_rows, p.dim)) - 0.5) / p.dim
-    c = (rng.random((n_contexts, p.dim)) - 0.5) / p.dim
-    sub = subwords or Subwords.own_rows(n_words or n_rows)
+    first = examples(0) if callable(examples) else examples
+    spark = first.sparkSession
+    parameters = stored = cut_lineage(started(spark, n_words, n_rows or n_words, n_contexts, p))
+    idle = None
+    if members is not None:
+        members = cut_lineage(members.select("w_idx", "row"))
+        idle = parameters.where(F.col("kind") == BUCKET).join(members.select("row").distinct(), "row", "left_anti").select("kind", "row", "v")
+        idle = cut_lineage(idle)
     losses = []
     for it in range(p.iterations):
         began = time.time()
-        table = examples(it) if callable(examples) else examples
+        table = first if it == 0 else examples(it) if callable(examples) else examples
         total = table.count()
-        m, c, loss, n = _epoch(table, m, c, sub, p, it, total)
-        if n and not np.isfinite(loss):
-            raise ArithmeticError(f"loss is no number in iteration {it}; use a smaller alpha or batch")
-        losses.append(loss / n if n else 0.0)
-        rate = learning_rate((it + 1) / p.iterations, p.alpha)
-        log.info("iteration %d of %d: %d examples in %.1f s, loss %.6f, next rate %.6f", it + 1, p.iterations, n, time.time() - began, losses[-1], rate)
-    return Trained(m, c, losses)
+        blocks = blocks_for(total, p)
+        lost, n = 0.0, 0
+        # In one order every epoch, blocks would always meet fresh from the same
+        # others, and training would converge more slowly.
+        order = np.random.default_rng((p.seed, it)).permutation(blocks).tolist() if total else []
+        for turn, s in enumerate(order):
+            out = cut_lineage(_stratum(parameters, members, table, p, blocks, it, s, turn, max(1, total // blocks**2)))
+            got = out.where("kind = -1").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
+            forget(stored)
+            parameters, stored = _merged(out, p.dim, members is not None), out
+            lost, n = lost + got["loss"], n + got["n"]
+            if not np.isfinite(lost):
+                raise ArithmeticError(f"loss is no number in iteration {it}; use a smaller alpha or batch")
+            rate = learning_rate((it + (turn + 1) / blocks) / p.iterations, p.alpha)
+            log.info("iteration %d of %d: %d of %d examples, %.0f a second, loss %.6f, rate %.6f", it + 1, p.iterations, n, total, n / max(time.time() - began, 1e-9), lost / max(n, 1), rate)
+        losses.append(lost / n if n else 0.0)
+        if callable(examples) and hasattr(table, "_stored_at"):
+            forget(table)
+    if idle is not None:
+        parameters = parameters.where(F.col("kind") != BUCKET).unionByName(parameters.where(F.col("kind") == BUCKET).join(idle.select("row"), "row", "left_anti").select("kind", "row", "v")).unionByName(idle)
+    return Trained(cut_lineage(parameters.select("kind", "row", "v")), losses, p.dim)
 
 
 def spool_examples(lines: DataFrame) -> DataFrame:
     """Examples of replicated lines (w_idx, c_idx, y, sampled)."""
     return lines.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("sampled")))).select("w_idx", "c_idx", "y", "copy")
-
-
-def vectors_frame(spark, names: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
-    """names (key, idx) with v, the row idx of the matrix."""
-    shared = spark.sparkContext.broadcast(matrix)
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(v=list(shared.value[pdf["idx"].to_numpy(np.int64)]))
-
-    return names.select(key, "idx").mapInPandas(fill, f"{key} string, idx bigint, v array<double>")

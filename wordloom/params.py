@@ -27,6 +27,7 @@ class Params:
     negative: int = 5
     unigram_power: float = 0.75
     exclude_target: bool = False
+    sampler: str = "noise"
     # Subwords.
     minn: int = 3
     maxn: int = 6
@@ -38,7 +39,10 @@ class Params:
     iterations: int = 5
     model: int = 1
     batch: int = 500
-    workers: int = 1
+    #: Blocks of words and of contexts that are trained side by side, and the
+    #: examples that two blocks have at least in common (else fewer blocks).
+    workers: int = 8
+    block_examples: int = 200_000
     seed: int = 1
 
     def __post_init__(self) -> None:
@@ -50,3 +54,5 @@ class Params:
             raise ValueError("window and max_sentence are at least 1")
         if self.ngram_unit not in ("byte", "char"):
             raise ValueError("ngram_unit is byte or char")
+        if self.workers < 1 or self.block_examples < 1 or self.batch < 1:
+            raise ValueError("workers, block_examples and batch are at least 1")

@@ -40,16 +40,17 @@ def _base(subsample_seed: int | None = None, weight: bool = False, positional: b
         kept = f"""SELECT t.* FROM tok t JOIN vocab v ON t.w = v.w, size
  WHERE t.w = '</s>' OR {_uniform(subsample_seed, 't.doc_id', 't.pos')} > {drop}"""
     reach = f"1 + floor({_uniform(2, 'a.doc_id', 'a.pos')} * {WINDOW})" if weight else str(WINDOW)
-    name = "b.w || '_' || (b.rn - a.rn)::VARCHAR" if positional else "b.w"
+    name = "b.w || '_' || a.k::VARCHAR" if positional else "b.w"
     return f"""kept{s} AS ({kept}),
  words{s} AS (
   SELECT doc_id, sent, (row_number() OVER (PARTITION BY doc_id, sent ORDER BY pos) - 1) AS rn, pos, w FROM (
    SELECT *, sum(CASE WHEN w = '</s>' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS sent FROM kept{s})
   WHERE w <> '</s>'),
  pairs{s} AS (
-  SELECT a.doc_id, a.sent, a.rn, a.w, b.w AS base_w, (b.rn - a.rn)::BIGINT AS pos, {name} AS c
-  FROM words{s} a JOIN words{s} b ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.rn // 1000 = b.rn // 1000
-   AND b.rn IN (a.rn - 2, a.rn - 1, a.rn + 1, a.rn + 2) AND abs(b.rn - a.rn) <= {reach})"""
+  SELECT a.doc_id, a.sent, a.rn, a.w, b.w AS base_w, a.k::BIGINT AS pos, {name} AS c
+  FROM (SELECT *, unnest([-2, -1, 1, 2]) AS k FROM words{s}) a JOIN words{s} b
+   ON a.doc_id = b.doc_id AND a.sent = b.sent AND a.rn + a.k = b.rn AND a.rn // 1000 = b.rn // 1000
+  WHERE abs(a.k) <= {reach})"""
 
 
 VOCAB = f"""WITH tok AS ({TOK}),
@@ -114,6 +115,27 @@ def _long(select: str, key: str) -> str:
 
 _PARTS = "SELECT *, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"
 
+#: One epoch of training as a single step over all examples, and what it makes.
+FULL_BATCH = f"""WITH init AS (
+  SELECT vec_id AS r, k AS d, ({_uniform(1, 'vec_id', 'k')} - 0.5) / 4 AS w, ({_uniform(2, 'vec_id', 'k')} - 0.5) / 4 AS c
+  FROM embeddings, (SELECT unnest(generate_series(0, 3)) AS k)),
+ ex AS (SELECT vec_id AS w, (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS k, embedding[1]::DOUBLE * 4 AS y FROM embeddings),
+ g0 AS (SELECT ex.w, ex.k, sum(a.w * b.c) - any_value(y) AS g FROM ex JOIN init a ON a.r = ex.w JOIN init b ON b.r = ex.k AND b.d = a.d GROUP BY ex.w, ex.k),
+ dw AS (SELECT g0.w AS r, b.d, sum(g * b.c) AS x FROM g0 JOIN init b ON b.r = g0.k GROUP BY ALL),
+ dc AS (SELECT g0.k AS r, a.d, sum(g * a.w) AS y FROM g0 JOIN init a ON a.r = g0.w GROUP BY ALL),
+ made AS (SELECT i.r, i.d, i.w - 0.5 * coalesce(dw.x, 0) AS w, i.c - 0.5 * coalesce(dc.y, 0) AS c
+  FROM init i LEFT JOIN dw ON dw.r = i.r AND dw.d = i.d LEFT JOIN dc ON dc.r = i.r AND dc.d = i.d),
+ g1 AS (SELECT ex.w, ex.k, sum(a.w * b.c) - any_value(y) AS g FROM ex JOIN made a ON a.r = ex.w JOIN made b ON b.r = ex.k AND b.d = a.d GROUP BY ex.w, ex.k)"""
+
+#: A model whose words are word0 to word9 and whose rows are the embeddings.
+MODEL_ROWS = f"""known AS (SELECT unnest(generate_series(0, 9)) AS idx, 'word' || idx::VARCHAR AS w),
+ parts AS ({_PARTS})"""
+ASKED = f"""SELECT DISTINCT CASE WHEN t IN (chr(10), '.') THEN '</s>' ELSE t END AS w FROM (
+  SELECT unnest(list_append(regexp_extract_all(text, '{token_pattern()}'), '</s>')) AS t FROM benchmark WHERE text IS NOT NULL)"""
+MEANS = f"""means AS (SELECT w, i, avg(x) AS x FROM rows_ JOIN parts USING (vec_id) GROUP BY w, i)
+SELECT a.w, CAST(d.i - 1 AS BIGINT) AS d, round(coalesce(m.x, 0), 6) + 0.0 AS x
+FROM asked a CROSS JOIN (SELECT unnest(generate_series(1, {DIM})) AS i) d LEFT JOIN means m ON m.w = a.w AND m.i = d.i"""
+
 ORACLE: dict[str, str] = {
     "tokenize_default": TOK,
     "tokenize_period_ws": _tok(token_pattern(True)),
@@ -199,10 +221,9 @@ SELECT w_idx, ord, (SELECT count(*) FROM vocab) + h % {BUCKETS} AS sw_idx FROM g
  parts AS (SELECT w, unnest([substr(w, 1, n), substr(w, n + 1)]) AS sw, unnest([1, 2])::BIGINT AS ord FROM h)
 SELECT w, ord, sw FROM parts""",
     "compose_vectors": f"SELECT label::BIGINT AS w_idx, CAST(i - 1 AS BIGINT) AS d, round(avg(x), 6) + 0.0 AS x FROM ({_PARTS}) GROUP BY label, i",
-    "merge_context_vectors": f"""WITH parts AS ({_PARTS}),
- w AS (SELECT label, i, x FROM parts WHERE vec_id IN (SELECT min(vec_id) FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label)),
- c AS (SELECT label, i, sum(x) AS more FROM parts WHERE vec_id % 2 = 1 GROUP BY label, i)
-SELECT 'word' || label::VARCHAR AS w, CAST(i - 1 AS BIGINT) AS d, round(x + coalesce(more, 0), 6) + 0.0 AS x FROM w LEFT JOIN c USING (label, i)""",
+    "merge_context_vectors": f"""WITH parts AS ({_PARTS}), n AS (SELECT count(*) AS n FROM embeddings)
+SELECT 'word' || w.vec_id::VARCHAR AS w, CAST(w.i - 1 AS BIGINT) AS d, round(w.x + c.x, 6) + 0.0 AS x
+FROM n, parts w JOIN parts c ON (c.vec_id + 1) % n.n = w.vec_id AND c.i = w.i""",
     "embed_words": f"""WITH asked AS (
   SELECT DISTINCT w FROM (
    SELECT CASE WHEN t IN (chr(10), '.') THEN '</s>' ELSE t END AS w FROM (
@@ -218,7 +239,7 @@ SELECT 'word' || label::VARCHAR AS w, CAST(i - 1 AS BIGINT) AS d, round(x + coal
 SELECT a.w, CAST(d.i - 1 AS BIGINT) AS d, round(coalesce(m.x, 0), 6) + 0.0 AS x
 FROM asked a CROSS JOIN (SELECT unnest(generate_series(1, {DIM})) AS i) d LEFT JOIN means m ON m.w = a.w AND m.i = d.i""",
     "sgd_batch_gradient": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
- ex AS (SELECT vec_id AS w_idx, (vec_id * k + 1) % 100 AS c_idx, (vec_id % 5)::DOUBLE AS y FROM v, (SELECT unnest([3, 7, 11]) AS k)),
+ ex AS (SELECT vec_id AS w_idx, (vec_id * k + 1) % (SELECT count(*) FROM v) AS c_idx, (vec_id % 5)::DOUBLE AS y FROM v, (SELECT unnest([3, 7, 11]) AS k)),
  e AS (SELECT w_idx, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) - y AS g, b.v AS cv
   FROM ex JOIN v a ON a.vec_id = w_idx JOIN v b ON b.vec_id = c_idx)
 SELECT w_idx, CAST(i - 1 AS BIGINT) AS d, round(sum(g * x), 6) + 0.0 AS grad
@@ -226,6 +247,30 @@ FROM (SELECT w_idx, g, unnest(cv) AS x, generate_subscripts(cv, 1) AS i FROM e)
     "vectors_text": """SELECT vec_id AS idx, 'w' || vec_id::VARCHAR || ' ' || array_to_string(list_transform(embedding::DOUBLE[], lambda x: printf('%.6f', x)), ' ') AS value FROM embeddings""",
     "init_vectors": f"""SELECT vec_id AS row, k::BIGINT AS d, round(({_uniform(4, 'vec_id', 'k')} - 0.5) / 8.0::DOUBLE, 6) + 0.0 AS x
 FROM embeddings, (SELECT unnest(generate_series(0, 7)) AS k)""",
+    "train_full_batch": f"""{FULL_BATCH}
+SELECT 0::BIGINT AS iteration, round(avg(0.5 * g * g), 9) AS half_sq_loss FROM g0
+UNION ALL SELECT 1, round(avg(0.5 * g * g), 9) FROM g1""",
+    "train_full_batch_vectors": f"{FULL_BATCH} SELECT r AS row, d::BIGINT AS d, round(w, 6) + 0.0 AS x FROM made",
+    "file_vocab": f"{VOCAB} SELECT w, freq FROM vocab",
+    "file_totals": f"{PAIRS}, {CELLS}, {TOTALS} SELECT w, total FROM rows_",
+    "file_spool": """SELECT w_idx, c_idx, CAST(sum(cooc) AS BIGINT) AS cooc, count(*) AS n_lines
+FROM cooc_line WHERE w_idx IS NOT NULL AND c_idx IS NOT NULL AND cooc > 0 GROUP BY w_idx, c_idx""",
+    "file_vectors": _long("SELECT 'w' || vec_id::VARCHAR AS w, embedding::DOUBLE[] AS v FROM embeddings", "w"),
+    "file_merge": _long("SELECT 'w' || vec_id::VARCHAR AS w, list_transform(embedding::DOUBLE[], lambda x: 3 * round(x, 6)) AS v FROM embeddings", "w"),
+    "file_selected_output": """SELECT model::BIGINT AS model, name, n_lines::BIGINT AS n_lines FROM (VALUES
+ (0, 'vectors.txt', 4), (0, 'vectors.txt.context', 4), (1, 'vectors.txt', 4), (1, 'vectors.txt.context', 0),
+ (2, 'vectors.txt', 4), (2, 'vectors.txt.context', 0)) t(model, name, n_lines)""",
+    "file_model": _long("SELECT vec_id AS row, embedding::DOUBLE[] AS v FROM embeddings", "row"),
+    "embed_lines": f"""WITH {MODEL_ROWS}, asked AS ({ASKED} UNION SELECT w FROM known),
+ vocab AS (SELECT w, 0 AS freq FROM asked), g AS ({_grams(False)}), h AS (SELECT gram, {_fnv('gram')} AS h FROM (SELECT DISTINCT gram FROM g)),
+ rows_ AS (SELECT w, 10 + h % ((SELECT count(*) FROM embeddings) - 10) AS vec_id FROM g JOIN h USING (gram) UNION ALL SELECT w, idx FROM known),
+ {MEANS}""",
+    "embed_listed": f"""WITH {MODEL_ROWS}, asked AS (SELECT w FROM ({ASKED}) WHERE length(w) > 1),
+ sub AS (SELECT w, unnest([hex(encode(substr(w, 1, 1))), hex(encode(substr(w, 2)))]) AS gram FROM asked),
+ rows_ AS (SELECT w, 10 + {_fnv('gram')} % ((SELECT count(*) FROM embeddings) - 10) AS vec_id FROM sub
+  UNION ALL SELECT w, idx FROM known JOIN asked USING (w)),
+ {MEANS}""",
+    "subword_list_check": f"""{VOCAB} SELECT w, unnest(['unlisted', 'malformed']) AS fault FROM vocab WHERE length(w) <= 3""",
     "p6_found": """
 SELECT w_idx FROM cooc_line WHERE w_idx IS NOT NULL GROUP BY w_idx
 HAVING count(*) * 100 >= (SELECT count(*) FROM cooc_line)

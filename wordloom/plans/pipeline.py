@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import cached_property
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from wordloom.operators import cooc, sampling, subword, train, vectors, vocab, w
 from wordloom.operators.tokenize import tokenize
 from wordloom.params import Params
 from wordloom.runtime import cut_lineage
-from wordloom.sources.formats import BinaryModel, write_model, write_vectors
+from wordloom.sources.formats import write_model_rows, write_vectors
 
 
 class Corpus:
@@ -72,6 +71,12 @@ class Corpus:
     def words(self) -> DataFrame:
         return windows.sentences(self.kept, self.p)
 
+    def kept_once(self) -> Corpus:
+        """This corpus with its kept words stored, for plans that read them more
+        than once: pairs, events and counts then start from them."""
+        self.words = cut_lineage(self.words)
+        return self
+
     @cached_property
     def pairs(self) -> DataFrame:
         return windows.window_pairs(self.words, self.p)
@@ -91,9 +96,12 @@ class Corpus:
 
     @cached_property
     def contexts(self) -> DataFrame:
-        """(c, base_w, pos, idx, freq), stored; freq is the column total."""
-        seen = cooc.col_totals(self.cells).withColumnRenamed("total", "freq")
-        return cut_lineage(vocab.ranked_contexts(vocab.with_counts(self.slots, seen)))
+        """(c, base_w, pos, idx, freq), stored; freq is the column total.  Pairs
+        are counted for it where the cells have not been made."""
+        if "cells" in self.__dict__:
+            seen = cooc.col_totals(self.cells).withColumnRenamed("total", "freq")
+            return cut_lineage(vocab.ranked_contexts(vocab.with_counts(self.slots, seen)))
+        return cut_lineage(vocab.context_vocab(self.slots, self.pairs))
 
     @cached_property
     def noise(self) -> DataFrame:
@@ -102,7 +110,7 @@ class Corpus:
 
     @cached_property
     def draws(self) -> DataFrame:
-        return sampling.drawn(self.events, self.noise, ["doc_id", "sent", "rn"], self.p)
+        return sampling.SAMPLERS[self.p.sampler](self.events, self.noise, ["doc_id", "sent", "rn"], self.p)
 
     def scored(self, pairs: DataFrame | None = None, measure: str | None = None) -> DataFrame:
         """Cells, or pairs (w, c, cooc), with their association y."""
@@ -115,22 +123,27 @@ class Corpus:
         kept = assoc.processed(scored, self.p).join(rows, "w").join(cols, "c")
         return kept.select("w_idx", "c_idx", "y", "sampled")
 
-    def subword_rows(self, listed: DataFrame | None = None) -> tuple[train.Subwords, int]:
-        """The rows of every word, and how many rows the matrix has."""
-        n = self.vocab.count()
+    def word_rows(self, listed: DataFrame | None = None) -> DataFrame:
+        """(w_idx, ord, sw_idx): the matrix rows of every word."""
+        return subword.word_subwords(self.vocab, self.n_words, self.p, listed)
+
+    @cached_property
+    def n_words(self) -> int:
+        return self.vocab.count()
+
+    def trained(self, examples, listed: DataFrame | None = None) -> train.Trained:
         hashed = self.p.minn >= 1 or listed is not None
-        if not hashed:
-            return train.Subwords.own_rows(n), n
-        table = subword.word_subwords(self.vocab, n, self.p, listed).toPandas()
-        return train.Subwords.of(table, n), n + self.p.buckets
+        members = self.word_rows(listed).where("ord > 0").select("w_idx", F.col("sw_idx").alias("row")) if hashed else None
+        n_rows = self.n_words + (self.p.buckets if hashed else 0)
+        return train.train(examples, self.n_words, self.contexts.count(), self.p, members, n_rows)
 
 
 def trained_em(c: Corpus, listed: DataFrame | None = None) -> train.Trained:
     """Noise is drawn once and spooled with the cells; every epoch passes the
     same lines in another order."""
+    c.kept_once()
     lines = cut_lineage(c.examples(c.scored(cut_lineage(spool_of(c)))))
-    rows, n_rows = c.subword_rows(listed)
-    return train.train(train.spool_examples(lines), n_rows, c.contexts.count(), c.p, rows)
+    return c.trained(train.spool_examples(lines), listed)
 
 
 def spool_of(c: Corpus) -> DataFrame:
@@ -153,24 +166,24 @@ def trained_on_spool(c: Corpus, spool: DataFrame, rows: DataFrame, cols: DataFra
     c.contexts = cut_lineage(vocab.ranked_contexts(vocab.with_counts(c.slots, seen)))
     y = assoc.MEASURES[c.p.matrix](c.p)
     lines = cut_lineage(c.examples(assoc.with_given_totals(spool, rows, cols, c.p).withColumn("y", y)))
-    parts, n_rows = c.subword_rows(listed)
-    return train.train(train.spool_examples(lines), n_rows, c.contexts.count(), c.p, parts)
+    return c.trained(train.spool_examples(lines), listed)
 
 
 def trained_im(c: Corpus, listed: DataFrame | None = None) -> train.Trained:
     """Every epoch subsamples the corpus and draws noise anew; a pair that the
     stored cells lack counts as empty."""
 
+    c.kept_once()
+
     def epoch(it: int) -> DataFrame:
-        again = c.under(seed=c.p.seed + 100 * (it + 1))
-        draws = sampling.drawn(again.events, c.noise, ["doc_id", "sent", "rn"], again.p)
+        again = c.under(seed=c.p.seed + 100 * (it + 1)).kept_once()
+        draws = sampling.SAMPLERS[again.p.sampler](again.events, c.noise, ["doc_id", "sent", "rn"], again.p)
         both = again.pairs.select("w", "c").unionByName(draws.select("w", "c"))
         counted = both.groupBy("w", "c").agg(F.count(F.lit(1)).alias("sampled"))
         scored = c.scored(cooc.cells_or_zero(counted, c.cells))
         return cut_lineage(train.spool_examples(c.examples(scored)))
 
-    rows, n_rows = c.subword_rows(listed)
-    return train.train(epoch, n_rows, c.contexts.count(), c.p, rows)
+    return c.trained(epoch, listed)
 
 
 def save(c: Corpus, result: train.Trained, path: str, binary: str | None = None, listed: DataFrame | None = None) -> None:
@@ -184,16 +197,13 @@ def save(c: Corpus, result: train.Trained, path: str, binary: str | None = None,
     p = c.p
     words = c.vocab.select("w", "idx")
     if binary:
-        names = [r.w for r in words.orderBy("idx").toLocalIterator()]
-        write_model(binary, BinaryModel(names, result.words, max(p.minn, 0), p.maxn))
-    rows, _ = c.subword_rows(listed)
-    n = len(rows.begin) - 1
-    flat, owner, count = rows.flat(np.arange(n))
-    final = np.zeros((n, p.dim))
-    np.add.at(final, owner, result.words[flat])
-    final /= np.maximum(count, 1)[:, None]
-    word_vectors = train.vectors_frame(spark, words, "w", final)
-    context_vectors = train.vectors_frame(spark, c.contexts.select("c", "idx"), "c", result.contexts)
+        names = (r.w for r in words.orderBy("idx").toLocalIterator())
+        rows = result.rows(train.WORD, train.BUCKET)
+        write_model_rows(binary, names, c.n_words, (r.v for r in rows.orderBy("row").toLocalIterator()), rows.count(), p)
+    final = vectors.composed(c.word_rows(listed), result.rows(train.WORD, train.BUCKET), p.dim)
+    word_vectors = words.join(final, words.idx == final.w_idx).select("w", "idx", "v")
+    made = result.rows(train.CONTEXT)
+    context_vectors = c.contexts.select("c", "idx").join(made, F.col("idx") == F.col("row")).select("c", "idx", "v")
     if p.model == 2:
         merged = vectors.merged_contexts(word_vectors.select("w", "v"), context_vectors.select("c", "v"), p.dim, p.positional)
         word_vectors = merged.join(words, "w").select("w", "idx", "v")

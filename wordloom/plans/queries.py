@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ from wordloom.operators.skew import word_line_totals
 from wordloom.operators.tokenize import drop_unterminated, tokenize
 from wordloom.params import Params
 from wordloom.plans.oracle import ORACLE  # noqa: F401  (named by the entry)
-from wordloom.plans.pipeline import Corpus, trained_em, trained_im
-from wordloom.runtime import read_table
+from wordloom.plans.pipeline import Corpus, run_em, trained_em, trained_im
+from wordloom.runtime import ensure_checkpoint_dir, read_table
+from wordloom.sources import formats
 from wordloom.sources.formats import vector_lines
+from wordloom.streaming.embed import embed_stream
 
 FLAGSHIP = "assoc_cpmi"
 
@@ -325,16 +330,16 @@ def noise_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def noise_draws(spark: SparkSession, d: str) -> DataFrame:
-    return _corpus(spark, d, PLAIN).draws.select("doc_id", "sent", "rn", "k", "c")
+    return _corpus(spark, d, PLAIN).kept_once().draws.select("doc_id", "sent", "rn", "k", "c")
 
 
 @query
 def negative_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _corpus(spark, d, PLAIN).draws.groupBy("w", "c").agg(F.count(F.lit(1)).alias("n_draws"))
+    return _corpus(spark, d, PLAIN).kept_once().draws.groupBy("w", "c").agg(F.count(F.lit(1)).alias("n_draws"))
 
 
 def _spool(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d, PLAIN)
+    c = _corpus(spark, d, PLAIN).kept_once()
     return cooc.spooled(c.pairs, c.draws)
 
 
@@ -415,12 +420,6 @@ def _long(rows: DataFrame, key: str) -> DataFrame:
     return out.select(key, "d", (F.round("x", 6) + 0.0).alias("x"))
 
 
-def _row_words(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector's label as its word: label 3 is word3."""
-    rows = read_table(spark, d, "embeddings")
-    return rows.select(F.concat(F.lit("word"), F.col("label").cast("string")).alias("w"), "vec_id", F.col("embedding").alias("v"))
-
-
 @query
 def compose_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The mean of the rows of each label, as if they were a word's subwords."""
@@ -431,14 +430,14 @@ def compose_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_context_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Even rows are words' vectors (the smallest of a label), odd rows are
-    their contexts' vectors at some position."""
-    rows = _row_words(spark, d)
-    even = rows.where(F.col("vec_id") % 2 == 0)
-    words = even.groupBy("w").agg(F.min_by("v", "vec_id").alias("v"))
-    position = F.when(F.col("vec_id") % 4 == 1, "-1").otherwise("1")
-    contexts = rows.where(F.col("vec_id") % 2 == 1).select(F.concat_ws("_", "w", position).alias("c"), "v")
-    words = words.withColumn("v", F.transform("v", lambda x: x.cast("double")))
+    """Every row is a word's vector, and the vector of a context of the word
+    whose number follows its own."""
+    rows = _matrix(spark, d)
+    n = rows.count()
+    name = lambda x: F.concat(F.lit("word"), x.cast("string"))
+    words = rows.select(name(F.col("row")).alias("w"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    position = F.when(F.col("row") % 2 == 1, "-1").otherwise("1")
+    contexts = rows.select(F.concat_ws("_", name((F.col("row") + 1) % n), position).alias("c"), "v")
     return _long(vectors.merged_contexts(words, contexts, DIM, True), "w")
 
 
@@ -463,7 +462,7 @@ def sgd_batch_gradient(spark: SparkSession, d: str) -> DataFrame:
     words = rows.select(F.col("vec_id").alias("w_idx"), "v")
     contexts = rows.select(F.col("vec_id").alias("c_idx"), "v")
     examples = rows.select(
-        F.col("vec_id").alias("w_idx"), F.explode(F.array(*[(F.col("vec_id") * k + 1) % 100 for k in (3, 7, 11)])).alias("c_idx")
+        F.col("vec_id").alias("w_idx"), F.explode(F.array(*[(F.col("vec_id") * k + 1) % rows.count() for k in (3, 7, 11)])).alias("c_idx")
     ).withColumn("y", (F.col("w_idx") % 5).cast("double"))
     grad = vectors.batch_gradient(examples, words, contexts)
     return grad.select("w_idx", "d", (F.round("grad", 6) + 0.0).alias("grad"))
@@ -503,6 +502,151 @@ def train_em(spark: SparkSession, d: str) -> DataFrame:
     return _losses(spark, trained_em(_corpus(spark, d, TRAIN)))
 
 
+def _tiny_examples(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    rows = read_table(spark, d, "embeddings")
+    n = rows.count()
+    word, context = F.col("vec_id"), (F.col("vec_id") * 7 + 1) % n
+    y = F.col("embedding")[0].cast("double") * 4
+    return rows.select(word.alias("w_idx"), context.alias("c_idx"), y.alias("y"), F.lit(1).cast("bigint").alias("copy")), n
+
+
+@query
+def train_full_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Losses of two epochs of the training itself where a batch holds all
+    examples: before any step, and after one of the whole gradient."""
+    examples, n = _tiny_examples(spark, d)
+    p = Params(dim=4, iterations=2, batch=1 << 30, alpha=0.5, minn=0, workers=1)
+    losses = train.train(examples, n, n, p).losses
+    return spark.createDataFrame([(i, round(x, 9)) for i, x in enumerate(losses)], "iteration bigint, half_sq_loss double")
+
+
+@query
+def train_full_batch_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Word vectors after one such epoch."""
+    examples, n = _tiny_examples(spark, d)
+    p = Params(dim=4, iterations=1, batch=1 << 30, alpha=0.5, minn=0, workers=1)
+    return _long(train.train(examples, n, n, p).rows(train.WORD), "row")
+
+
+# Files: written to the shared folder, read back.
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query
+def file_vocab(spark: SparkSession, d: str) -> DataFrame:
+    path, words = _folder(spark), _corpus(spark, d).vocab
+    formats.write_counts(words, path, "w", "freq", [F.col("idx")])
+    return formats.read_counts(spark, path)
+
+
+@query
+def file_totals(spark: SparkSession, d: str) -> DataFrame:
+    path, totals = _folder(spark), cooc.row_totals(_cells(spark, d))
+    formats.write_counts(totals, path, "w", "total", [F.desc("total"), F.col("w")])
+    return formats.read_counts(spark, path).withColumnRenamed("freq", "total")
+
+
+@query
+def file_spool(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the stored runs as binary records and back."""
+    path = _folder(spark)
+    lines = read_table(spark, d, "cooc_line").where("w_idx is not null and c_idx is not null and cooc > 0")
+    formats.write_spool(lines.select("w_idx", "c_idx", "cooc"), path)
+    return formats.read_spool(spark, path).groupBy("w_idx", "c_idx").agg(F.sum("cooc").alias("cooc"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query
+def file_vectors(spark: SparkSession, d: str) -> DataFrame:
+    path, rows = _folder(spark), _matrix(spark, d)
+    named = rows.select(F.col("row").alias("idx"), F.concat(F.lit("w"), F.col("row").cast("string")).alias("w"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+    formats.write_vectors(named, path)
+    return _long(formats.read_vectors(spark, path), "w")
+
+
+@query
+def file_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Text vectors of words and of twice as many contexts, merged as files."""
+    path, rows = _folder(spark), _matrix(spark, d)
+    wide = F.transform("v", lambda x: x.cast("double"))
+    named = rows.select(F.col("row").alias("idx"), F.concat(F.lit("w"), F.col("row").cast("string")).alias("w"), wide.alias("v"))
+    both = named.crossJoin(spark.createDataFrame([("-1",), ("1",)], "k string"))
+    formats.write_vectors(named, f"{path}/w")
+    formats.write_vectors(both.select("idx", F.concat_ws("_", "w", "k").alias("c"), "v"), f"{path}/c", "c")
+    formats.merge_vector_files(spark, f"{path}/w", f"{path}/c", f"{path}/out")
+    return _long(formats.read_vectors(spark, f"{path}/out"), "w")
+
+
+@query
+def file_selected_output(spark: SparkSession, d: str) -> DataFrame:
+    """Which files each output model writes: 0 words and contexts apart, 1 words
+    only, 2 their sum; and the values in the sum."""
+    rows = []
+    nothing = spark.createDataFrame([(1, "a b a b a b")], "doc_id bigint, text string")
+    for model in (0, 1, 2):
+        path = _folder(spark)
+        p = Params(minfreq=1, subsample=0.0, negative=1, minn=0, dim=2, iterations=1, model=model, positional=False)
+        run_em(nothing, p, path)
+        for name in ("vectors.txt", "vectors.txt.context"):
+            try:
+                n = spark.read.text(f"{path}/{name}").count()
+            except AnalysisException:
+                n = 0
+            rows.append((model, name, n))
+    return spark.createDataFrame(rows, "model bigint, name string, n_lines bigint")
+
+
+def _model_file(spark: SparkSession, d: str, words: int) -> str:
+    """A binary model of the first rows as words and the others as buckets, in
+    a folder that all workers reach."""
+    rows = read_table(spark, d, "embeddings").select("vec_id", "embedding").orderBy("vec_id")
+    folder = _folder(spark)
+    path = folder.removeprefix("file:")
+    os.makedirs(path, exist_ok=True)
+    p = replace(P, minn=3, maxn=6)
+    formats.write_model_rows(f"{path}/model.bin", (f"word{k}" for k in range(words)), words, (r.embedding for r in rows.toLocalIterator()), rows.count(), p)
+    return f"{path}/model.bin"
+
+
+@query
+def file_model(spark: SparkSession, d: str) -> DataFrame:
+    """A binary model written and read back."""
+    m = formats.read_model(_model_file(spark, d, 10))
+    names = [*m.words, *[None] * m.buckets]
+    rows = [(k, w, [float(x) for x in v]) for k, (w, v) in enumerate(zip(names, m.matrix))]
+    return _long(spark.createDataFrame(rows, "row bigint, w string, v array<double>"), "row")
+
+
+@query
+def embed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's words by a model file: a known word, and words of hashed
+    n-grams, as lines of a stream have them."""
+    asked = tokenize(read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), P).select("w").distinct()
+    lines = asked.unionByName(spark.range(10).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("w")))
+    return _long(embed_stream(lines.select(F.col("w").alias("value")), _model_file(spark, d, 10)), "w")
+
+
+@query
+def embed_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Words with subwords of their own, which take the place of n-grams."""
+    asked = tokenize(read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), P).select("w").distinct()
+    given = asked.where(F.length("w") > 1).select("w", F.array(F.substring("w", 1, 1), F.expr("substr(w, 2)")).alias("subwords"))
+    words = spark.range(10).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("w"), F.col("id").alias("idx"))
+    matrix = _matrix(spark, d)
+    return _long(vectors.embedded(given, words, matrix, 10, DIM, replace(P, buckets=matrix.count() - 10)).drop("subwords"), "w")
+
+
+@query
+def subword_list_check(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the vocabulary that a subword list lacks, and its bad lines."""
+    words = _corpus(spark, d).vocab
+    lines = words.select(F.when(F.length("w") > 3, F.concat_ws(" ", "w", F.substring("w", 1, 2))).otherwise(F.col("w")).alias("value"))
+    lacking = subword.unlisted_words(words, subword.parsed_subword_lines(lines)).select("w", F.lit("unlisted").alias("fault"))
+    return lacking.unionByName(subword.malformed_subword_lines(lines).select(F.col("value").alias("w"), F.lit("malformed").alias("fault")))
+
+
 # Stored runs.
 
 

@@ -8,7 +8,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,18 +62,6 @@ def forget(df: DataFrame) -> None:
 BROADCAST_ROWS = 500_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df hinted for a join: broadcast where it has at most `rows` rows, which
-    is counted, else a sort-merge join, whose hot keys are split at run time.
-
-    df should be cheap to read (a stored or checkpointed table).  Without the
-    hint the planner may broadcast the other side: it takes exploded tokens to
-    be as small as the files they come from.
-    """
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df.hint("merge")
-
-
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per session.
 
