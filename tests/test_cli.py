@@ -41,6 +41,13 @@ def test_stages(spark, corpus, tmp_path):
     assert lines[0].startswith("cat ") and lines[1] == "unknown" + " 0.000000" * 4
 
 
+def test_demo(spark, corpus, tmp_path, capsys):
+    cli(spark, "demo", "--corpus", corpus, "--output", str(tmp_path / "o"))
+    lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert {x[0] for x in lines} == {"the", "cat", "sat.", "sat", "dog", "ran"} and len(lines) == 30
+    assert all(-1.001 <= float(x[3]) <= 1.001 for x in lines)
+
+
 def test_wrong_files(spark, corpus, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([("x", 1)], "a string, b bigint").selectExpr("concat(a, ' ', b) as value").write.text(f"{d}/v")

@@ -104,6 +104,22 @@ def test_listed_subwords_override(spark, tmp_path):
         assert got[r.w] == pytest.approx(np.array(r.v))
 
 
+def test_characters_and_blank_lines(spark, tmp_path):
+    from wordloom.streaming.embed import before_blank
+
+    assert word_grams("ü", 2, 2) == ["<ü>".encode()[k : k + 2] for k in range(3)]
+    assert word_grams("ü", 2, 2, "char") == ["<ü".encode(), "ü>".encode()]
+    path, m = str(tmp_path / "m.bin"), model()
+    formats.write_model(path, m)
+    (tmp_path / "in.txt").write_text("zü\ncat\n\ndog\n")
+    lines = spark.read.text(str(tmp_path / "in.txt"))
+    got = {r.w: np.array(r.v) for r in embed_stream(before_blank(lines), path, "char").collect()}
+    assert set(got) == {"zü", "cat"}
+    rows = [2 + fnv1_32_bytes(g) % 10 for g in word_grams("zü", 3, 6, "char")]
+    assert got["zü"] == pytest.approx(m.matrix[rows].mean(0))
+    assert before_blank(lines.where("value = 'cat'")).count() == 1
+
+
 def test_stream(spark, tmp_path):
     path = str(tmp_path / "m.bin")
     formats.write_model(path, model())

@@ -6,6 +6,7 @@
     python -m wordloom trainem --vocab DIR --cooc DIR --output DIR [settings]
     python -m wordloom im|em   --corpus TEXT --output DIR [settings]
     python -m wordloom embed   --model FILE --words TEXT --output DIR
+    python -m wordloom demo    --corpus TEXT --output DIR [settings]
     python -m wordloom merge   --vectors PATH --contexts PATH --output PATH
 
 Settings are the fields of Params, written --like-this.
@@ -25,10 +26,10 @@ from wordloom.operators.subword import parsed_subword_lines, unlisted_words
 from wordloom.params import Params
 from wordloom.plans import pipeline
 from wordloom.sources import formats
-from wordloom.streaming.embed import embed_stream
+from wordloom.streaming.embed import before_blank, embed_stream
 
 log = logging.getLogger("wordloom")
-STAGES = ("vocab", "train", "cooc", "trainem", "im", "em", "embed", "merge")
+STAGES = ("vocab", "train", "cooc", "trainem", "im", "em", "embed", "merge", "demo")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("stage", choices=STAGES)
     for name in ("corpus", "vocab", "cooc", "output", "binary", "subword", "model-file", "words", "vectors", "contexts"):
         out.add_argument(f"--{name}", default="")
+    out.add_argument("--until-blank", action="store_true", help="embed: stop at the first empty line")
     out.add_argument("--verbose", type=int, default=1, choices=(0, 1, 2), help="errors, progress, details")
     for f in fields(Params):
         kind = type(f.default)
@@ -69,10 +71,16 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     p = Params(**{f.name: getattr(args, f.name) for f in fields(Params)})
     if args.stage == "embed":
         model, words, output = need(args, "model_file", "words", "output")
-        found = embed_stream(spark.read.text(words), model)
+        lines = spark.read.text(words)
+        found = embed_stream(before_blank(lines) if args.until_blank else lines, model, p.ngram_unit)
         text = F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x)), " ")
         found.select(F.concat_ws(" ", "w", text).alias("value")).write.mode("overwrite").text(output)
         return
+    if args.stage == "demo":
+        corpus, output = need(args, "corpus", "output")
+        for r in pipeline.demo(spark, formats.read_corpus(spark, corpus), p, output).collect():
+            print(f"{r.w}\t{r.place}\t{r.other}\t{r.cos:.3f}")
+        return
     if args.stage == "merge":
         lacking = formats.merge_vector_files(spark, *need(args, "vectors", "contexts", "output"))
         log.info("words without context vectors: %d", lacking)

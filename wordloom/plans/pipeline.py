@@ -9,15 +9,16 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wordloom.functions.text import CONTEXT_BREAK
 from wordloom.operators import association as assoc
 from wordloom.operators import cooc, sampling, subword, train, vectors, vocab, windows
 from wordloom.operators.tokenize import tokenize
 from wordloom.params import Params
-from wordloom.runtime import cut_lineage
+from wordloom.runtime import cut_lineage, forget
 from wordloom.sources.formats import write_model_rows, write_vectors
 
 
@@ -181,7 +182,9 @@ def trained_im(c: Corpus, listed: DataFrame | None = None) -> train.Trained:
         both = again.pairs.select("w", "c").unionByName(draws.select("w", "c"))
         counted = both.groupBy("w", "c").agg(F.count(F.lit(1)).alias("sampled"))
         scored = c.scored(cooc.cells_or_zero(counted, c.cells))
-        return cut_lineage(train.spool_examples(c.examples(scored)))
+        table = cut_lineage(train.spool_examples(c.examples(scored)))
+        forget(again.words)
+        return table
 
     return c.trained(epoch, listed)
 
@@ -228,3 +231,19 @@ def run_em(documents: DataFrame, p: Params, path: str, binary: str | None = None
     result = trained_em(c, listed)
     save(c, result, path, binary, listed)
     return result
+
+
+def demo(spark: SparkSession, documents: DataFrame, p: Params, path: str, words: int = 10, k: int = 5) -> DataFrame:
+    """(w, place, other, cos): what lies nearest to the most frequent words, after
+    training in memory on documents and writing everything under path."""
+    run_im(documents, p, path)
+    vocab_, made = spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/vectors")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = made.select("w", F.transform("v", lambda x: x / norm).alias("u"))
+    asked = vocab_.where(F.col("w") != CONTEXT_BREAK).orderBy("idx").limit(words).select("w")
+    # The words asked for are a handful; each vector meets all of them.
+    first = unit.join(F.broadcast(asked), "w", "left_semi").select("w", F.col("u").alias("a"))
+    cos = F.aggregate(F.zip_with("a", "u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = unit.withColumnRenamed("w", "other").join(F.broadcast(first), F.col("w") != F.col("other")).withColumn("cos", cos)
+    place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("cos"), "other"))
+    return met.withColumn("place", place).where(F.col("place") <= k).select("w", "place", "other", "cos").orderBy("w", "place")
