@@ -34,7 +34,7 @@ class ForestParams:
     sample_rows: int = 65_536
     #: Vectors wanted in a leaf, and sampled vectors it takes at least; beyond
     #: leaf_rows / leaf_least * sample_rows vectors the leaves grow with them.
-    leaf_rows: int = 8_192
+    leaf_rows: int = 12_288
     leaf_least: int = 8
     #: Leaves expected to be larger are worked on in blocks.
     block_rows: int = 32_768
