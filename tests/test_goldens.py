@@ -279,6 +279,26 @@ def test_training_equals_a_plain_loop(spark):
     assert got.words == pytest.approx(m) and got.contexts == pytest.approx(c) and got.losses == pytest.approx(losses)
 
 
+def test_lines_stand_for_their_copies(spark):
+    """Training on lines equals training on each of their copies, with rows of
+    a batch that meet several times."""
+    lines = spark.createDataFrame([(a, b, float(a + b), 1 + (a * b) % 4) for a in range(6) for b in range(6)], "w_idx bigint, c_idx bigint, y double, sampled bigint")
+    copies = lines.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "sampled"))).drop("sampled")
+    p = Params(dim=3, iterations=2, batch=8, minn=0, alpha=0.05, workers=2, block_examples=1)
+    got, want = train.train(lines, 6, 6, p), train.train(copies, 6, 6, p)
+    assert got.words == pytest.approx(want.words) and got.losses == pytest.approx(want.losses)
+
+
+def test_steps_on_batches():
+    rng = np.random.default_rng(3)
+    w, k, y = rng.integers(0, 5, 50), rng.integers(0, 4, 50), rng.normal(size=50)
+    m, c = rng.normal(size=(5, 3)), rng.normal(size=(4, 3))
+    m2, c2, rates = m.copy(), c.copy(), [0.1 / (i + 1) for i in range(8)]
+    want = sum(train.batch_step(m, c, train.Subwords.own_rows(5), w[i : i + 7], k[i : i + 7], y[i : i + 7], r) for i, r in zip(range(0, 50, 7), rates))
+    assert train.plain_steps(m2, c2, w, k, y, 7, rates) == pytest.approx(want)
+    assert m2 == pytest.approx(m) and c2 == pytest.approx(c)
+
+
 def test_strata_of_workers(spark):
     """Blocks that share no row, in strata, come within 5 % of the sequential
     loss, with subwords that all blocks share too."""
@@ -348,3 +368,13 @@ def test_params_are_checked():
         with pytest.raises(ValueError):
             Params(**bad)
     assert math.isclose(Params().cds, 0.75)
+
+
+def test_each_draw_is_hashed_once(spark):
+    """The tests for null that a join brings along do not hash again."""
+    contexts = spark.createDataFrame([("a", 0, 3), ("b", 1, 2)], "c string, idx bigint, freq bigint")
+    events = cut_lineage(spark.range(9).select("id", F.lit("a").alias("w")))
+    draws = sampling.drawn(events, sampling.noise_table(contexts, P), ["id"], P)
+    assert draws.count() == 9 * P.negative
+    plan = draws._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 1, plan

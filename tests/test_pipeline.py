@@ -69,3 +69,19 @@ def test_vocabulary_is_kept_where_it_may_be(corpus):
     c = Corpus(corpus, P)
     assert c.under(seed=7).cut is c.cut
     assert c.under(minfreq=3).cut is not c.cut
+
+
+@pytest.mark.parametrize("subsample", [0.0, 0.1])
+def test_words_are_found_once(corpus, monkeypatch, subsample):
+    """Epochs start from the stored words, or from the stored tokens where each
+    drops others; the texts are read for the vocabulary and once more."""
+    from wordloom.operators import sampling, windows
+    from wordloom.plans.pipeline import trained_im
+
+    met, cut = [], []
+    known, sentences = sampling.known_tokens, windows.sentences
+    monkeypatch.setattr(sampling, "known_tokens", lambda *a: met.append(1) or known(*a))
+    monkeypatch.setattr(windows, "sentences", lambda *a: cut.append(1) or sentences(*a))
+    result = trained_im(Corpus(corpus, replace(P, minn=0, iterations=2, subsample=subsample)))
+    assert len(result.losses) == 2
+    assert len(met) == 1 and len(cut) == (3 if subsample else 1)
