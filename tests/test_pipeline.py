@@ -85,3 +85,17 @@ def test_words_are_found_once(corpus, monkeypatch, subsample):
     result = trained_im(Corpus(corpus, replace(P, minn=0, iterations=2, subsample=subsample)))
     assert len(result.losses) == 2
     assert len(met) == 1 and len(cut) == (3 if subsample else 1)
+
+
+def test_spools_are_not_copied(corpus, monkeypatch):
+    """Training gets each line of the spool once, with its number of copies."""
+    from wordloom.operators import train
+    from wordloom.plans.pipeline import trained_em
+
+    got = []
+    monkeypatch.setattr(train, "train", lambda examples, *a: got.append(examples))
+    trained_em(Corpus(corpus, replace(P, minn=0)))
+    lines = got[0]
+    assert "sampled" in lines.columns
+    assert lines.count() == lines.select("w_idx", "c_idx").distinct().count()
+    assert lines.agg({"sampled": "sum"}).first()[0] > lines.count()
