@@ -378,3 +378,21 @@ def test_each_draw_is_hashed_once(spark):
     assert draws.count() == 9 * P.negative
     plan = draws._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5") == 1, plan
+
+
+def test_shuffled_lines_are_computed_once(spark):
+    """No pass over the lines looks for bounds first."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    lines = spark.range(1000).select("id").mapInArrow(counted, "id bigint")
+    rows = cooc.shuffled(lines, ["id"], 9).orderBy("place").collect()
+    assert seen.value == 1000
+    assert [r.place for r in rows] == list(range(1000))
+    from wordloom.functions.hashing import uniform
+
+    assert [r.id for r in rows] == [r.id for r in spark.range(1000).orderBy(uniform(9, "id"), "id").collect()]
